@@ -19,5 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrid.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash}
 ORACLE_SQL: dict[str, str] = {}
