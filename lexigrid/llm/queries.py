@@ -25,5 +25,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrid.llm.pii import digest, personal_data
+
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op7_pii": op7_pii}
 ORACLE_SQL: dict[str, str] = {}
