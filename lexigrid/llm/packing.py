@@ -16,8 +16,13 @@ PIECE_SCHEMA = (
 )
 #: Marks in a text that are glued to a word and always make tokens of their own.
 _TAIL = ".,!?;:"
-#: Words whose ids one Python worker keeps; beyond it words are encoded again each time.
-_KEPT_WORDS = 400_000
+#: Words whose ids one Python worker keeps, some 220 bytes each; when there are more, it starts afresh.
+_KEPT_WORDS = 1_000_000
+
+
+def _plain(word: str) -> bool:
+    """Only Latin letters that are one code point in any normal form and have one lower case."""
+    return word.isalpha() and max(word) < "\u0180"
 
 
 class WordIds(dict):
@@ -33,7 +38,6 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self[""] = b""
         self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -44,39 +48,44 @@ class WordIds(dict):
         import numpy as np
 
         core = word.rstrip(_TAIL)
-        if core and core != word and core.isalpha():
+        if core and core != word and _plain(core):
             value = self[core] + self[word[len(core) :]]
-        elif word.isascii() and word.isalpha() and (low := word.lower()) != word:
+        elif word and _plain(word) and (low := word.lower()) != word:
             value = self[low]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             value = np.asarray(ids, dtype="<u4").tobytes()
-        if len(self) < self.kept:
-            self[word] = value
+        self[word] = value
         return value
 
     def learn(self, words: set[str]) -> None:
-        """Encode unseen ASCII words together."""
+        """Encode unseen plain words together."""
         import numpy as np
 
-        cores = {w.rstrip(_TAIL).lower() for w in words if w not in self and w.isascii()}
-        cores = [w for w in cores if w.isalpha() and w not in self]
-        if len(cores) < 2 or len(self) + len(cores) > self.kept:
+        if len(self) > self.kept:
+            self.clear()
+        unseen = words.difference(self)
+        cores = list({core for w in unseen if (core := w.rstrip(_TAIL).lower()) not in self and core and _plain(core)})
+        if len(cores) < 2:
             return
-        ids = np.asarray(self.tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.word_end[ids]) + 1
         if len(ends) != len(cores):
             return
-        start = 0
-        for word, end in zip(cores, ends.tolist(), strict=True):
-            self[word] = ids[start:end].tobytes()
+        data, start = ids.tobytes(), 0
+        for word, end in zip(cores, (4 * ends).tolist(), strict=True):
+            self[word] = data[start:end]
             start = end
 
-    def encode(self, text: str) -> bytes:
-        for space in "\n\t\r":
-            if space in text:
-                text = text.replace(space, " ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
+            for space in "\n\t\r":
+                if space in text:
+                    text = text.replace(space, " ")
+            split.append(text.split(" "))
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 class _Open:
@@ -173,8 +182,6 @@ def _packer(path: str, end_id: int, capacity: int, block_tokens: int, linear: fl
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        from lexigrid.llm.common import rows_of
-
         if path not in _WORKER:
             _WORKER[path] = WordIds(path)
         words = _WORKER[path]
@@ -199,17 +206,13 @@ def _packer(path: str, end_id: int, capacity: int, block_tokens: int, linear: fl
 
         block, held = [], 0
         for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, batch.num_rows, 500):
-                part = texts.slice(at, 500).to_pylist()
-                unseen: set[str] = set()
-                for text in part:
-                    unseen.update(text.replace("\n", " ").split(" "))
-                words.learn(unseen)
-                for doc_id, text in zip(batch.column("doc_id").slice(at, 500).to_pylist(), part, strict=True):
-                    ids = words.encode(text) + end
-                    block.append((doc_id, ids))
-                    held += len(ids) // 4
+            step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(batch.nbytes, 1))))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                texts = words.encode(part.column("text").to_pylist())
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+                    block.append((doc_id, ids + end))
+                    held += len(ids) // 4 + 1
                     if held >= block_tokens:
                         yield packed(block)
                         block, held = [], 0
