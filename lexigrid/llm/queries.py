@@ -72,10 +72,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexigrid.llm.tokencounts import edited_counts, spacing_edits
+    from lexigrid.llm.tokencounts import edited_counts, revision_edits
 
     docs = table(spark, sf_dir, "documents")
-    return edited_counts(docs, spacing_edits(docs), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return edited_counts(docs, revision_edits(), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {

@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id",
 
 
 REPEATS_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
 k AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS k FROM s),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM k) WHERE n > 1),

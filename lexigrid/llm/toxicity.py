@@ -200,6 +200,17 @@ def _platt(f, y):
     return float(max(w[0], 0.0)), float(w[1])
 
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Once for each text: its words of 4 to 40 characters, and their first 4, 5 and 6, which inflected words share."""
+    from lexigrid.llm.common import rows_of
+
+    for batch in batches:
+        for text, label in rows_of([batch], "text", "toxic"):
+            bare = {b for w in set(text.lower().split()) if 4 <= len(b := w.strip(_MARKS)) <= 40}
+            found = list(bare.union(*({b[:n] for b in bare} for n in (4, 5, 6))))
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.string())], names=["toxic", "w"])
+
+
 def _spread(words: list[str], most: int) -> list[str]:
     """The first words whose kernel with every word before them is under 0.6."""
     kept: list[str] = []
@@ -253,13 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, landmarks:
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return None
-    bare = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(_MARKS))), lambda w: F.length(w).between(4, 40))
-
-    def stem(n: int):
-        return F.transform(F.filter(bare, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
-
-    stems = F.concat(bare, stem(4), stem(5), stem(6))
-    counts = sample.select("toxic", F.explode(F.array_distinct(stems)).alias("w")).groupBy("w").agg(
+    counts = sample.mapInArrow(_candidates, "toxic int, w string").groupBy("w").agg(
         F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")
     )
     gain = F.col("n1") * F.log((F.col("n1") + 0.5) / n1 / ((F.col("n0") + 0.5) / n0))
