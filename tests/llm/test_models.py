@@ -1,0 +1,53 @@
+from __future__ import annotations
+
+import random
+
+from lexigrid.llm import quality, toxicity
+
+DOCS = "doc_id long, text string, score int"
+
+
+def corpus(bad):
+    rng = random.Random(3)
+    words = ["river", "stone", "letter", "garden", "window", "morning", "paper", "winter", "market", "bridge"]
+    docs, marks = [], []
+    for i in range(240):
+        text = [rng.choice(words) for _ in range(30)]
+        label = i % 3 == 0
+        docs.append((i, bad(text, i) if label else " ".join(text), 1))
+        marks.append((i, int(not label), int(label)))
+    return [*docs, (900, None, 1), (901, "", 1), (None, "river", 1), (902, "stone " * 50_000, 1), (902, "stone " * 50_000, 1)], marks
+
+
+def check(spark, module, bad, column):
+    docs, marks = corpus(bad)
+    docs = spark.createDataFrame(docs, DOCS)
+    labels = spark.createDataFrame([*marks, (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    rows = module.score(docs, module.fit(docs, labels)).collect()
+    assert len(rows) == 245 and all(0 <= r.score <= 1 for r in rows)
+    right = {m[0]: m[1 if column == "quality" else 2] for m in marks}
+    held = [r for r in rows if r.held_out and r.doc_id in right]
+    assert len(held) > 20 and sum(r.predicted == right[r.doc_id] for r in held) >= 0.95 * len(held)
+    none = module.score(docs, module.fit(docs, labels.limit(0)))
+    assert none.count() == 245 and none.where("score <> 0").isEmpty()
+    assert module.score(docs.limit(0), None).count() == 0
+
+
+def test_toxicity_finds_gapped_insults(spark):
+    def bad(text, i):
+        text[i % 30] = ("blockhead", "bl-ockhead", "dimwit", "dim*wit,", "Blockheads")[i % 5]
+        return " ".join(text)
+
+    check(spark, toxicity, bad, "toxic")
+
+
+def test_bound_never_hides_a_word():
+    landmarks = toxicity.Landmarks(["blockhead", "dimwit", "lowei"])
+    rng = random.Random(1)
+    words = ["".join(rng.choice("blockheadimwt") for _ in range(rng.randrange(12))) for _ in range(3000)] + ["bloc-khead", "x" * 3000 + "dimwit"]
+    for word, ok in zip(words, landmarks._may_pass(words).tolist(), strict=True):
+        assert ok or not landmarks._kernel(word)
+
+
+def test_quality_votes(spark):
+    check(spark, quality, lambda text, i: "### ".join(text) if i % 2 else " ".join(text[:1] * 30), "quality")
