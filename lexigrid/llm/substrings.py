@@ -123,9 +123,9 @@ def _cut(length: int):
 
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            for doc_id, text, starts in rows_of([batch], "doc_id", "text", "starts"):
+            for doc_id, text, starts, copy in rows_of([batch], "doc_id", "text", "starts", "copy"):
                 words = text.encode("utf-8", "surrogatepass").split()
-                kept = words
+                kept = [] if copy and len(words) >= length else words
                 if starts:
                     edge = np.zeros(len(words) + 1, np.int64)
                     starts = np.unique(np.array(starts))
@@ -151,18 +151,25 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id",
     Rows of one doc_id with different texts come in the order of their text hashes; rows that repeat
     whole are the same document and get the same result.
     """
-    source = id_and_text(docs, id_col, text_col).withColumn("uid", F.xxhash64("doc_id", "text"))
+    place = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    rows = id_and_text(docs, id_col, text_col).withColumns(
+        {"uid": F.xxhash64("doc_id", "text"), "doc": place, "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")}
+    )
+    # A whole text that a smaller doc_id also has is a repeat from its first window to its last.
+    least = rows.groupBy("t1", "t2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    rows = rows.join(stored(least, "texts"), ["t1", "t2"], "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)))
+    source = rows.where("not copy")
     halves = stored(source.select("uid", "text").mapInArrow(_halves(length), "key long, uid long, n int"), "halves")
     again = halves.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     alive = halves.join(again, "key").select("uid", "key").groupBy("uid").agg(F.collect_set("key").alias("alive"))
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    live = source.join(alive, "uid").select("uid", doc.alias("doc"), "text", "alive")
+    live = source.join(alive, "uid").select("uid", "doc", "text", "alive")
     full = stored(live.mapInArrow(_extended(length), "key long, check long, doc long, uid long, start int"), "windows")
     place = F.struct("doc", "uid", "start")
     first = full.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "check", "first")
     later = full.join(first, ["key", "check"]).where(place != F.col("first"))
     starts = stored(later.groupBy("uid").agg(F.collect_set("start").alias("starts")), "starts")
-    joined = source.join(starts, "uid", "left").select("doc_id", "text", "starts")
+    joined = source.join(starts, "uid", "left").select("doc_id", "text", "starts", "copy")
+    joined = joined.unionByName(rows.where("copy").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), "copy"))
     return joined.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
