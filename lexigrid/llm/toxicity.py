@@ -19,6 +19,11 @@ _MARKS = ".,;:!?\"'()[]{}"
 _KEPT_WORDS = 500_000
 
 
+def _words(low: str) -> set[str]:
+    """The words of the sentences of a lower-case text, as sentence.split() gives them: the one form in which they are kept and looked up."""
+    return set(low.replace(".", " ").replace("!", " ").replace("?", " ").split())
+
+
 def _slot(a, b, c, d):
     """Place of a subsequence in a table of 2^20."""
     import numpy as np
@@ -114,7 +119,7 @@ class Landmarks:
         """Put the words of these lower-case texts that are like a landmark among the known ones."""
         new = set()
         for text in texts:
-            new.update(text.split())
+            new.update(_words(text))
         new = [w for w in new if w not in self.known]
         if len(self.known) + len(new) > _KEPT_WORDS:
             self.known.clear()
@@ -127,7 +132,7 @@ class Landmarks:
     def sentences(self, text: str) -> Iterator[dict[int, float]]:
         """For each sentence with a word like a landmark: the best kernel value of each landmark."""
         low = text.lower()
-        words = set(low.split())
+        words = _words(low)
         if not words <= self.known.keys():
             self.learn([low])
             if not words <= self.known.keys():
@@ -206,7 +211,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, label in rows_of([batch], "text", "toxic"):
-            bare = {b for w in set(text.lower().split()) if 4 <= len(b := w.strip(_MARKS)) <= 40}
+            bare = {b for w in _words(text.lower()) if 4 <= len(b := w.strip(_MARKS)) <= 40}
             found = list(bare.union(*({b[:n] for b in bare} for n in (4, 5, 6))))
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.string())], names=["toxic", "w"])
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from lexigrid.llm import quality, toxicity
 
 DOCS = "doc_id long, text string, score int"
@@ -41,6 +43,15 @@ def test_toxicity_finds_gapped_insults(spark):
     check(spark, toxicity, bad, "toxic")
 
 
+def test_insult_before_a_sentence_end_counts():
+    landmarks = toxicity.Landmarks(["blockhead", "dimwit"])
+    for end in (".", "!", "?", "!!", "?!", '."', ".)", "\n"):
+        for text in (f"you are a blockhead{end}", f"Blockhead{end}Next line", f"(blockhead{end}) river"):
+            assert [s[0] for s in landmarks.sentences(text) if 0 in s] == pytest.approx([1.0]), (text, end)
+    model = toxicity.Model(landmarks.words, [2.0, 2.0], -1.0, 1.0, 0.0)
+    assert model.margin(landmarks, "He is here. A dimwit!") == pytest.approx(1.0)
+
+
 def test_bound_never_hides_a_word():
     landmarks = toxicity.Landmarks(["blockhead", "dimwit", "lowei"])
     rng = random.Random(1)
