@@ -24,9 +24,9 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Account boundaries: a login in an address, an account number after its cue, a value assigned to a secret's name.
-_LOGIN = re.compile(r"[^\s/@<>\"']{1,256}@[A-Za-z0-9.-]+(?::[0-9]+)?")
+_LOGIN = re.compile(r"[^\s/@<>\"']++@[A-Za-z0-9.-]+(?::[0-9]+)?")
 _IBAN = re.compile(r"[\s:=#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-_VALUE = re.compile(r"[A-Za-z0-9_]{0,32}[\x20]{0,2}[=:][\x20]{0,2}[\"']?([^\s\"',;&<>]{6,256})")
+_VALUE = re.compile(r"[A-Za-z0-9_]{0,32}[\x20]{0,2}[=:][\x20]{0,2}[\"']?([^\s\"',;&<>]{6,}+)")
 _SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "access_key")
 
 

@@ -72,3 +72,13 @@ def test_query_digest(spark):
     assert pii.digest(pii.personal_data(docs.limit(0))).count() == 0
     clean = [r.text for r in docs.select(pii.redact("text").alias("text")).collect()]
     assert clean[0] == "mail [EMAIL] or [CARD]" and clean[2] is None
+
+
+def test_long_secrets_and_logins_go_whole(spark):
+    token, login = "eyJh0_-." * 250, "user:" + "p4ss" * 100
+    text = f"token={token} then https://{login}@example.com/x and secret: {token}end."
+    found = pii.Finder().spans(text)
+    assert [text[a:b] for k, a, b in found if k == "secret"] == [token, f"{token}end."]
+    assert [text[a:b] for k, a, b in found if k == "url"] == [f"https://{login}@example.com"]
+    clean = spark.createDataFrame([(text,)], "text string").select(pii.redact("text").alias("t")).first().t
+    assert clean == "token=[SECRET] then [URL]/x and secret: [SECRET]"
