@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,25 +18,42 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)[^>]*+>|<[!?][^>]*+>",
     re.I | re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 CONTAINERS = frozenset("html body main article section div td table tbody tr blockquote center".split())
 DROPPED = frozenset("head nav footer aside form button dialog menu".split())
-BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre hr figure figcaption th header address caption thead tfoot details summary".split())
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre hr figure figcaption th address caption thead tfoot details summary".split())
 _BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter"
-    r"|notice|popup|promo\w*|related|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter"
+    r"|notice|popup|promo\w*|related|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?",
+    re.I,
+)
+#: Parts of a class that say where or what shape, so site-footer or ad-300x250 name the thing itself; with, has, no or enabled don't.
+_PLACE = re.compile(
+    r"area|article|bar|blog|block|bottom|box|buttons?|column|container|desktop|entry|fixed|form|global|group|header|icons?|inner|items?|left|links?|list|main|mobile"
+    r"|overlay|page|panel|posts?|primary|recent|respond|right|row|secondary|section|site|slot|sticky|text|title|top|trail|unit|wrap|wrapper|\d+(?:x\d+)?",
     re.I,
 )
 _DIGITS = re.compile(r"\d+")
 
 
+@lru_cache(maxsize=65_536)
+def _named(value: str) -> bool:
+    """Whether a whole word of this class, id or role names boilerplate: each part does, or tells its place."""
+    for word in value.split():
+        parts = [part for part in re.split(r"[-_]+", word) if part]
+        if any(map(_BOILERPLATE.fullmatch, parts)) and all(_BOILERPLATE.fullmatch(part) or _PLACE.fullmatch(part) for part in parts):
+            return True
+    return False
+
+
 class Page:
     """Nodes (path, parent, score) and blocks (node, text) of a page, boilerplate left out."""
 
     def __init__(self, source: str):
         self.paths, self.parents, self.scores = ["/"], [-1], [0.0]
         self.blocks: list[tuple[int, str]] = []
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        marked, unlinked = [False], [0]
+        stack: list[tuple[str, int]] = [("", 0)]
         held: list[str] = []
         linked, in_link, at = 0, False, 0
 
@@ -47,11 +65,20 @@ class Page:
                 node = stack[-1][1]
                 self.blocks.append((node, text))
                 self.scores[node] += max(0, len(text) - 2 * linked)
+                unlinked[node] += max(0, len(text) - linked)
             linked = 0
 
+        def open_node(tag: str, names: dict[str, str], off: bool) -> None:
+            node = stack[-1][1]
+            kind = ".".join([tag, *sorted(_DIGITS.sub("#", names.get("class", "")).lower().split())])
+            self.paths.append(f"{self.paths[node].rstrip('/')}/{kind}")
+            self.parents.append(node)
+            self.scores.append(0.0)
+            marked.append(off), unlinked.append(0)
+            stack.append((tag, len(self.paths) - 1))
+
         for m in _TOKEN.finditer(source):
-            dropped = stack[-1][2]
-            if m.start() > at and not dropped:
+            if m.start() > at:
                 piece = source[at : m.start()]
                 held.append(piece)
                 linked += len(piece) if in_link else 0
@@ -62,33 +89,61 @@ class Page:
             end = m["end"] or m["end2"]
             if tag == "a":
                 in_link = not end
-            elif tag == "br":
+                continue
+            if tag == "br":
                 held.append(" ")
-            elif tag in CONTAINERS or tag in DROPPED or tag == "header":
-                close_block()
-                if end:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
-                            break
-                    continue
-                names = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(m["attrs"] or "")}
-                inside = any(t in ("article", "main") for t, _, _ in stack)
-                off = dropped or tag in DROPPED or (tag == "header" and not inside)
-                off = off or (tag not in ("html", "body") and any(_BOILERPLATE.search(v) for v in names.values()))
-                node = stack[-1][1]
-                if not off:
-                    kind = ".".join([tag, *sorted(_DIGITS.sub("#", names.get("class", "")).lower().split())])
-                    self.paths.append(f"{self.paths[node].rstrip('/')}/{kind}")
-                    self.parents.append(node)
-                    self.scores.append(0.0)
-                    node = len(self.paths) - 1
-                stack.append((tag, node, off))
-            elif tag in BLOCKS:
-                close_block()
-        if at < len(source) and not stack[-1][2]:
+                continue
+            block = tag in BLOCKS
+            if not block and tag not in CONTAINERS and tag not in DROPPED and tag != "header":
+                continue
+            close_block()
+            if end:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        del stack[k:]
+                        break
+                    if block and stack[k][0] not in BLOCKS:
+                        # A list that began outside its items ends them.
+                        del stack[k + 1 if tag in ("ul", "ol", "dl") else len(stack) :]
+                        break
+                continue
+            # The end of a paragraph or an item may be left out.
+            if stack[-1][0] == "p" or (tag == stack[-1][0] == "li") or (tag in ("dt", "dd") and stack[-1][0] in ("dt", "dd")):
+                stack.pop()
+            names: dict[str, str] = {}
+            for a, b, c, d in _ATTR.findall(m["attrs"] or ""):
+                if (a := a.lower()) in ("class", "id", "role"):
+                    names.setdefault(a, b or c or d)
+            named = any(map(_named, names.values()))
+            if block:
+                # Only a block to leave out is a node; blocks within it are kept apart from its end.
+                if named and tag != "hr":
+                    open_node(tag, names, True)
+                elif stack[-1][0] in BLOCKS and tag != "hr":
+                    stack.append((tag, stack[-1][1]))
+            else:
+                off = tag in DROPPED or (tag == "header" and not any(t in ("article", "main") for t, _ in stack))
+                open_node(tag, names, off or (named and tag not in ("html", "body", "article", "main")))
+        if at < len(source):
             held.append(source[at:])
         close_block()
+        self._leave_out(marked, unlinked)
+
+    def _leave_out(self, marked: list[bool], unlinked: list[int]) -> None:
+        """Marked nodes go with all below them, but not one with most of the page's unlinked text, nor all text there is."""
+        total = list(unlinked)
+        for k in range(len(total) - 1, 0, -1):
+            total[self.parents[k]] += total[k]
+        gone = [False] * len(total)
+        for k in range(1, len(total)):
+            gone[k] = gone[self.parents[k]] or (marked[k] and 2 * total[k] <= total[0])
+        if total[0] and not any(n for n, g in zip(unlinked, gone, strict=True) if not g):
+            return
+        left = [k for k, g in enumerate(gone) if not g]
+        place = {k: i for i, k in enumerate(left)} | {-1: -1}
+        self.paths, self.scores = [self.paths[k] for k in left], [self.scores[k] for k in left]
+        self.parents = [place[self.parents[k]] for k in left]
+        self.blocks = [(place[node], text) for node, text in self.blocks if node in place]
 
     def best(self) -> tuple[str, float]:
         """The path of the container with most text of its own and half of what its children hold."""

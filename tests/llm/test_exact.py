@@ -6,7 +6,7 @@ import random
 
 import public_tokenizers
 
-from lexigrid.llm.html import main_text
+from lexigrid.llm.html import Page, main_text
 from lexigrid.llm.substrings import remove_repeats
 from lexigrid.llm.tokencounts import Counter, CountTree, edited_counts, revision_edits
 from lexigrid.llm.topk import top_k
@@ -85,3 +85,22 @@ def test_main_text(spark):
     got = [(r.page_id, r.text, r.n_chars) for r in main_text(spark.createDataFrame([(*p, "p") for p in pages], "page_id long, url string, html string, path string")).collect()]
     assert sorted(got) == [(1, "T\n\nA & b\n\nBody text here", 24), (2, "only this", 9), (3, "", 0), (4, "", 0), (4, "", 0)]
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_only_whole_names_of_boilerplate_go():
+    story = "<p>A long story about a river.</p><p>It goes on for a while.</p>"
+    text = "A long story about a river.\n\nIt goes on for a while."
+    for opened, closed in (
+        ("<div class='content with-sidebar'>", "</div>"), ("<div class='site has-sidebar'>", "</div>"), ("<div class='post no-comments'>", "</div>"),
+        ("<article class='share'>", "</article>"), ("<article class='article share-enabled'>", "</article>"), ("<form class='page'>", "</form>"),
+        ("<div data-role='menu' data-id='ads' title=\"class='ad'\">", "</div>"), ("<div id='sidebar'>", "</div>"),
+    ):
+        page = f"<html><body>{opened}{story}<div class='ad'>Buy now</div>{closed}<footer>Imprint</footer></body></html>"
+        assert Page(page).text("") == text, opened
+    for extra in (
+        "<ul class='menu'><li>Home<ul><li>Deep</li></ul></li><li>About</li></ul>", "<p class='notice'>Mind this.", "<p class='advert'>Buy now</p>",
+        "<div class='site-footer'>Imprint</div>", "<div class='ad-300x250 left'>Buy now</div>", "<h2 id=newsletter>Sign up</h2>",
+        "<nav><a href='/'>Home</a></nav>", "<div role=navigation>Go</div>", "<ul><li class='share'>Tell all<li class='share'>Tell more</ul>",
+    ):
+        assert Page(f"<html><body><div>{extra}{story}</div></body></html>").text("") == text, extra
+    assert Page("<form>One part</form><form>Other part</form>").text("")
