@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries scored at once against a batch of rows.
+SLICE = 256
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -23,10 +30,68 @@ def centroid(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False) -> DataFrame:
-    """The k largest products of each query (a stated, small set) with all others; ties to the smaller id."""
+def _best_of_task(held, k: int):
+    """The k best rows of a task for each broadcast query; partial results are cut to k after every batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        own, asked = held.value
+        by_width: dict[int, list[int]] = {}
+        for i, q in enumerate(asked):
+            by_width.setdefault(len(q), []).append(i)
+        blocks = {w: [np.array(at[k0 : k0 + SLICE]) for k0 in range(0, len(at), SLICE)] for w, at in by_width.items()}
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(own)
+        for batch in batches:
+            ids, lists = batch.column("id").to_numpy(zero_copy_only=False), batch.column("v")
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            for width in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == width)
+                rows, who = flat[starts[mine][:, None] + np.arange(width)], ids[mine]
+                for at in blocks.get(width, ()):
+                    q = np.stack([asked[i] for i in at])
+                    # One component after the other, so that every score adds up in the order of the vector.
+                    scores = np.zeros((len(at), len(who)))
+                    for d in range(width):
+                        scores += q[:, d : d + 1] * rows[:, d]
+                    for i, found in zip(at.tolist(), scores, strict=True):
+                        keep = who != own[i]
+                        had_scores, had_ids = best[i]
+                        if len(had_scores) >= k:
+                            keep &= found >= had_scores[-1]
+                        if keep.any():
+                            found, near = np.concatenate([had_scores, found[keep]]), np.concatenate([had_ids, who[keep]])
+                            order = np.lexsort((near, -found))[:k]
+                            best[i] = found[order], near[order]
+        for i, (scores, ids) in enumerate(best):
+            if len(ids):
+                columns = [pa.array(np.full(len(ids), own[i], np.int64)), pa.array(ids.astype(np.int64)), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False, block: int = 20_000) -> DataFrame:
+    """The k largest products of each query with all others; ties to the smaller id.
+
+    Each block of about `block` queries is broadcast and meets all rows where they are read; a task
+    answers with k rows a query, which are ranked after one shuffle.
+    """
+    import numpy as np
+
     base, asked = (normalized(vectors), normalized(queries)) if cosine else (vectors, queries)
-    asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    scored = base.join(asked, F.col("id") != F.col("query_id")).select("query_id", "id", dot("v", "q").alias("score"))
+    kind = vectors.schema["id"].dataType.simpleString()
+    base = base.select(F.col("id").cast("long").alias("id"), "v").where("id is not null and v is not null")
+    asked = asked.select(F.col("id").cast("long").alias("id"), "v").where("id is not null and v is not null")
+    context, n, out = vectors.sparkSession.sparkContext, asked.count(), None
+    passes = math.ceil(1.2 * n / block) if n > block else 1
+    for p in range(passes):
+        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else asked
+        got = mine.collect()
+        held = context.broadcast(([r.id for r in got], [np.array(r.v, np.float64) for r in got]))
+        found = base.mapInArrow(_best_of_task(held, k), "query_id long, id long, score double")
+        out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query_id").cast(kind).alias("query_id"), F.col("id").cast(kind).alias("id"), "score", "rank")

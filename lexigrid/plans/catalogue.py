@@ -201,6 +201,23 @@ def embedding_nearest_cosine(spark, sf_dir):
     return _rounded(em.nearest(v, v.where("id < 10"), 10, cosine=True), "score")
 
 
+_ALL_NEIGHBOURS = "q.id % 20 = 0"
+
+
+@_query(_nearest_sql("list_inner_product(q.v, c.v)").replace("q.id < 10", _ALL_NEIGHBOURS))
+def embedding_neighbours_product(spark, sf_dir):
+    """Every row whose id is divisible by 20 asks all rows."""
+    v = _vectors(spark, sf_dir)
+    return _rounded(em.nearest(v, v.where("id % 20 = 0"), 10), "score")
+
+
+@_query(_nearest_sql("list_cosine_similarity(q.v, c.v)").replace("q.id < 10", _ALL_NEIGHBOURS))
+def embedding_neighbours_cosine(spark, sf_dir):
+    """Every row whose id is divisible by 20 asks all rows."""
+    v = _vectors(spark, sf_dir)
+    return _rounded(em.nearest(v, v.where("id % 20 = 0"), 10, cosine=True), "score")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell of the dynamic window with its PMI."""
     return co.with_marginals(_cells(spark, sf_dir)).select("i", "j", "nij", co.pmi().alias("pmi"))

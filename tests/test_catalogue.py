@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 from lexigrid.functions.kernels import kernel
 from lexigrid.operators import cooccurrence as co
+from lexigrid.operators import embeddings as em
+from lexigrid.plans import catalogue
 from lexigrid.sources.corpus import tokens
 
 TEXT = "a b a\nb  c \n\n\ta"
@@ -59,3 +62,29 @@ def test_fixture_matrix(spark):
     assert [sums["row", k] for k in range(4)] == [5, 4, 2, 1] and sums["total", None] == 12
     assert {(r.i, r.j): r.nij for r in co.truncated(cells, 2).collect()} == {(0, 1): 3, (1, 0): 3}
     assert {r.nij for r in co.merge(cells, cells).collect()} == {2.0, 6.0}
+
+
+@pytest.mark.parametrize("name", [f"embedding_{kind}_{score}" for kind in ("nearest", "neighbours") for score in ("product", "cosine")])
+def test_neighbours_equal_their_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    found = catalogue.QUERIES[name](spark, folder)
+    want = db.sql(catalogue.ORACLE_SQL[name])
+    assert sorted(found.columns) == sorted(want.columns)
+    got = sorted(tuple(r) for r in found.select("query_id", "rank", "id", "score").collect())
+    assert got == sorted(want.select("query_id", "rank", "id", "score").fetchall())
+    if "neighbours" in name:
+        assert {r[0] for r in got} == {r[0] for r in db.sql("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()}
+
+
+def test_neighbours_in_blocks(spark):
+    rows = [(k, [float(k * 7 % 11), float(k % 5), 1.0]) for k in range(90)]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    want = {}
+    for q, x in rows[::20]:
+        scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for c, y in rows if c != q)[:4]
+        want |= {(q, n): (c, -s) for n, (s, c) in enumerate(scored, 1)}
+    for block in (2, 100):
+        got = em.nearest(v, v.where("id % 20 = 0"), 4, block=block).collect()
+        assert {(r.query_id, r["rank"]): (r.id, r.score) for r in got} == want and len(got) == len(want)
