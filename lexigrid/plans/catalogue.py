@@ -17,12 +17,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.vocabulary(co.unigram(tokens(_docs(spark, sf_dir))), size=VOCABULARY)
+def _vocab(spark: SparkSession, sf_dir: str, size: int | None = VOCABULARY) -> DataFrame:
+    return co.vocabulary(co.unigram(tokens(_docs(spark, sf_dir))), size=size)
 
 
-def _cells(spark: SparkSession, sf_dir: str, name: str = "dynamic", window: int | None = WINDOW, weights=None) -> DataFrame:
-    ids = co.encoded(tokens(_docs(spark, sf_dir)), _vocab(spark, sf_dir))
+def _cells(spark: SparkSession, sf_dir: str, name: str = "dynamic", window: int | None = WINDOW, weights=None, size: int | None = VOCABULARY) -> DataFrame:
+    ids = co.encoded(tokens(_docs(spark, sf_dir)), _vocab(spark, sf_dir, size))
     return co.cooccurrences(ids, *kernel(name, window, weights))
 
 
@@ -81,8 +81,8 @@ def unigram_counts(spark, sf_dir):
 
 
 @_query(f"WITH {_VOCAB} SELECT id, token, n, round(n / (SELECT sum(n) FROM vocab), 9) AS freq FROM vocab")
-def vocabulary_frequencies(spark, sf_dir):
-    vocab = _vocab(spark, sf_dir)
+def vocabulary_frequencies(spark, sf_dir, size=VOCABULARY):
+    vocab = _vocab(spark, sf_dir, size=size)
     total = vocab.agg(F.sum("n").alias("total"))
     return vocab.crossJoin(F.broadcast(total)).select("id", "token", "n", F.round(F.col("n") / F.col("total"), 9).alias("freq"))
 
@@ -104,45 +104,45 @@ def unigram_merged(spark, sf_dir):
 
 
 @_query(f"WITH {_VOCAB} SELECT id, token, round(pow(n, 0.75), 6) AS n FROM vocab")
-def unigram_smoothed(spark, sf_dir):
-    return _rounded(co.smoothed(_vocab(spark, sf_dir), 0.75), "n")
+def unigram_smoothed(spark, sf_dir, size=VOCABULARY):
+    return _rounded(co.smoothed(_vocab(spark, sf_dir, size=size), 0.75), "n")
 
 
 @_query(_cells_sql("flat") + "SELECT i, j, round(nij, 6) AS nij FROM cells")
-def cooccurrence_flat(spark, sf_dir):
-    return _rounded(_cells(spark, sf_dir, "flat"), "nij")
+def cooccurrence_flat(spark, sf_dir, size=VOCABULARY):
+    return _rounded(_cells(spark, sf_dir, "flat", size=size), "nij")
 
 
 @_query(_cells_sql("harmonic") + "SELECT i, j, round(nij, 6) AS nij FROM cells")
-def cooccurrence_harmonic(spark, sf_dir):
-    return _rounded(_cells(spark, sf_dir, "harmonic"), "nij")
+def cooccurrence_harmonic(spark, sf_dir, size=VOCABULARY):
+    return _rounded(_cells(spark, sf_dir, "harmonic", size=size), "nij")
 
 
 @_query(_cells_sql() + "SELECT i, j, round(nij, 6) AS nij FROM cells")
-def cooccurrence_dynamic(spark, sf_dir):
-    return _rounded(_cells(spark, sf_dir), "nij")
+def cooccurrence_dynamic(spark, sf_dir, size=VOCABULARY):
+    return _rounded(_cells(spark, sf_dir, size=size), "nij")
 
 
 @_query(_cells_sql("custom", CUSTOM) + "SELECT i, j, round(nij, 6) AS nij FROM cells")
-def cooccurrence_custom(spark, sf_dir):
-    return _rounded(_cells(spark, sf_dir, "custom", None, CUSTOM), "nij")
+def cooccurrence_custom(spark, sf_dir, size=VOCABULARY):
+    return _rounded(_cells(spark, sf_dir, "custom", None, CUSTOM, size=size), "nij")
 
 
 @_query(
     _cells_sql("flat") + "SELECT 'row' AS side, i AS id, ni AS n FROM rows UNION ALL SELECT 'column', j, nj FROM cols UNION ALL SELECT 'total', NULL, n FROM total"
 )
-def cooccurrence_marginals(spark, sf_dir):
-    return co.marginals(_cells(spark, sf_dir, "flat"))
+def cooccurrence_marginals(spark, sf_dir, size=VOCABULARY):
+    return co.marginals(_cells(spark, sf_dir, "flat", size=size))
 
 
 @_query(_cells_sql("flat") + "SELECT i, j, round(ln(nij) + ln(n) - ln(ni) - ln(nj), 6) AS pmi FROM full_cells")
-def cooccurrence_pmi(spark, sf_dir):
-    return co.with_marginals(_cells(spark, sf_dir, "flat")).select("i", "j", F.round(co.pmi(), 6).alias("pmi"))
+def cooccurrence_pmi(spark, sf_dir, size=VOCABULARY):
+    return co.with_marginals(_cells(spark, sf_dir, "flat", size=size)).select("i", "j", F.round(co.pmi(), 6).alias("pmi"))
 
 
 @_query(_cells_sql("flat") + "SELECT i, j, nij FROM cells WHERE nij > 10")
-def cooccurrence_threshold(spark, sf_dir):
-    return co.above(_cells(spark, sf_dir, "flat"), 10)
+def cooccurrence_threshold(spark, sf_dir, size=VOCABULARY):
+    return co.above(_cells(spark, sf_dir, "flat", size=size), 10)
 
 
 @_query(_cells_sql("flat") + "SELECT i, sum(nij) AS ni FROM cells WHERE i < 100 AND j < 100 GROUP BY i")
@@ -151,21 +151,21 @@ def cooccurrence_truncated(spark, sf_dir):
 
 
 @_query(_cells_sql("flat") + "SELECT i, j, nij, i // 4 AS li, j // 4 AS lj FROM cells WHERE i % 4 = 1 AND j % 4 = 3")
-def cooccurrence_shard(spark, sf_dir):
-    return co.shard(_cells(spark, sf_dir, "flat"), 4, 1, 3)
+def cooccurrence_shard(spark, sf_dir, size=VOCABULARY):
+    return co.shard(_cells(spark, sf_dir, "flat", size=size), 4, 1, 3)
 
 
 @_query(
     _cells_sql("flat") + ", keep AS (SELECT id, least(1, 1e-3 / f + sqrt(1e-3 / f)) AS p FROM (SELECT id, n / (SELECT sum(n) FROM vocab) AS f FROM vocab)) "
     "SELECT i, j, round(nij * a.p * b.p, 6) AS nij FROM cells JOIN keep a ON a.id = i JOIN keep b ON b.id = j"
 )
-def cooccurrence_undersampled(spark, sf_dir):
-    return _rounded(co.undersampled(_cells(spark, sf_dir, "flat"), _vocab(spark, sf_dir), 1e-3), "nij")
+def cooccurrence_undersampled(spark, sf_dir, size=VOCABULARY):
+    return _rounded(co.undersampled(_cells(spark, sf_dir, "flat", size=size), _vocab(spark, sf_dir, size=size), 1e-3), "nij")
 
 
 @_query(_cells_sql("flat") + "SELECT i, round(sum(least(1, pow(nij / 100, 0.75)) * pow(ln(nij), 2)), 4) AS loss FROM cells GROUP BY i")
-def glove_loss_at_zero(spark, sf_dir):
-    cells = _cells(spark, sf_dir, "flat")
+def glove_loss_at_zero(spark, sf_dir, size=VOCABULARY):
+    cells = _cells(spark, sf_dir, "flat", size=size)
     return cells.groupBy("i").agg(F.round(F.sum(co.glove_weight() * F.pow(F.log("nij"), 2)), 4).alias("loss"))
 
 
@@ -219,5 +219,5 @@ def embedding_neighbours_cosine(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell of the dynamic window with its PMI."""
-    return co.with_marginals(_cells(spark, sf_dir)).select("i", "j", "nij", co.pmi().alias("pmi"))
+    """Every cell of the dynamic window over the whole vocabulary, with its PMI."""
+    return co.with_marginals(_cells(spark, sf_dir, size=None)).select("i", "j", "nij", co.pmi().alias("pmi"))

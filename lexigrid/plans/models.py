@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigrid.operators import cooccurrence as co
 from lexigrid.operators import embeddings as em
 from lexigrid.operators import models as mo
-from lexigrid.plans.catalogue import _TOKENS, _VOCAB, _cells, _cells_sql, _rounded, _vectors, _vocab
+from lexigrid.plans.catalogue import _TOKENS, _VOCAB, VOCABULARY, _cells, _cells_sql, _rounded, _vectors, _vocab
 from lexigrid.sources.corpus import tokens
 
 #: Ids of the model's vocabulary: the most frequent tokens, each with the vector of the same id.
@@ -42,20 +42,27 @@ def _query(sql: str):
     return add
 
 
-def _model_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.truncated(_cells(spark, sf_dir, "flat"), SIZE)
+def _model_cells(spark: SparkSession, sf_dir: str, size: int | None = SIZE) -> DataFrame:
+    return _cells(spark, sf_dir, "flat", size=None) if size is None else co.truncated(_cells(spark, sf_dir, "flat"), size)
 
 
-def _params(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _params(spark: SparkSession, sf_dir: str, size: int | None = SIZE) -> DataFrame:
+    """Vectors and biases of the ids under `size`; without it of the whole vocabulary, which takes the vectors in turn."""
     vectors = _vectors(spark, sf_dir)
-    mine = vectors.where(F.col("id") < SIZE).crossJoin(F.broadcast(vectors.agg(F.count("*").alias("many"))))
+    many = F.broadcast(vectors.agg(F.count("*").alias("many")))
+    if size is None:
+        turn = _vocab(spark, sf_dir, size=None).select("id").crossJoin(many).withColumn("turn", F.col("id") % F.col("many"))
+        mine = turn.join(vectors.select(F.col("id").alias("turn"), "v"), "turn")
+    else:
+        mine = vectors.where(F.col("id") < size).crossJoin(many)
     others = vectors.select(F.col("id").alias("source"), F.col("v").alias("w"))
-    bias = {"vb": (F.col("id") % 11 - 5) / 100.0, "wb": (3 * F.col("id") % 11 - 5) / 100.0}
-    return mine.withColumn("source", (7 * F.col("id") + 3) % F.col("many")).join(others, "source").withColumns(bias).select("id", "v", "w", "vb", "wb")
+    number = F.col("id").cast("long")
+    bias = {"vb": (number % 11 - 5) / 100.0, "wb": (3 * number % 11 - 5) / 100.0}
+    return mine.withColumn("source", (7 * number + 3) % F.col("many")).join(others, "source").withColumns(bias).select("id", "v", "w", "vb", "wb")
 
 
-def _sparse(spark, sf_dir, bias: bool = False) -> DataFrame:
-    return mo.dense_scores(co.with_marginals(_model_cells(spark, sf_dir)), _params(spark, sf_dir), bias)
+def _sparse(spark, sf_dir, bias: bool = False, size: int | None = SIZE) -> DataFrame:
+    return mo.dense_scores(co.with_marginals(_model_cells(spark, sf_dir, size)), _params(spark, sf_dir, size), bias)
 
 
 def _tile(spark, sf_dir) -> DataFrame:
@@ -73,18 +80,18 @@ def _gradient_sql(table: str, delta: str, side: str, digits: int = 6) -> str:
 
 
 @_query(_MODEL + "SELECT i, j, round(score, 6) AS score FROM sparse")
-def dense_response(spark, sf_dir):
-    return _sparse(spark, sf_dir).select("i", "j", F.round("score", 6).alias("score"))
+def dense_response(spark, sf_dir, size=SIZE):
+    return _sparse(spark, sf_dir, size=size).select("i", "j", F.round("score", 6).alias("score"))
 
 
 @_query(_MODEL + "SELECT i, j, round(list_inner_product(a.v, b.w) + a.vb + b.wb, 6) AS score FROM model JOIN params a ON a.id = i JOIN params b ON b.id = j")
-def sample_response_bias(spark, sf_dir):
-    return mo.sample_scores(_model_cells(spark, sf_dir), _params(spark, sf_dir), bias=True).select("i", "j", F.round("score", 6).alias("score"))
+def sample_response_bias(spark, sf_dir, size=SIZE):
+    return mo.sample_scores(_model_cells(spark, sf_dir, size=size), _params(spark, sf_dir, size=size), bias=True).select("i", "j", F.round("score", 6).alias("score"))
 
 
 @_query(_MODEL + f"SELECT i, round(sum({_GLOVE_W} / 2 * pow(score - ln(nij), 2)), 5) AS loss FROM sparse GROUP BY i")
-def loss_glove(spark, sf_dir):
-    return _by_row(_sparse(spark, sf_dir), mo.glove_loss())
+def loss_glove(spark, sf_dir, size=SIZE):
+    return _by_row(_sparse(spark, sf_dir, size=size), mo.glove_loss())
 
 
 @_query(_MODEL + f"SELECT i, round(sum({_NEGATIVES} * ln(1 + exp(score)) + nij * (ln(1 + exp(score)) - score)), 5) AS loss FROM tile GROUP BY i")
@@ -102,33 +109,33 @@ def loss_mle_tempered(spark, sf_dir):
     return _by_row(_tile(spark, sf_dir), mo.mle_loss(2))
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
+def _pairs(spark, sf_dir, size: int | None = SIZE) -> DataFrame:
     """Frequent cells stand for positive pairs, the others for negative ones."""
-    return mo.sample_scores(_model_cells(spark, sf_dir), _params(spark, sf_dir)).withColumn("positive", F.col("nij") > 10)
+    return mo.sample_scores(_model_cells(spark, sf_dir, size), _params(spark, sf_dir, size)).withColumn("positive", F.col("nij") > 10)
 
 
 _PAIRS = _MODEL + ", pairs AS (SELECT nij > 10 AS positive, list_inner_product(a.v, b.w) AS score FROM model JOIN params a ON a.id = i JOIN params b ON b.id = j) "
 
 
 @_query(_PAIRS + "SELECT round(-sum(CASE WHEN positive THEN score ELSE -exp(score) END) / sum(positive::INT), 6) AS loss FROM pairs")
-def loss_sample_mle(spark, sf_dir):
-    return _rounded(mo.sample_mle_loss(_pairs(spark, sf_dir)), "loss")
+def loss_sample_mle(spark, sf_dir, size=SIZE):
+    return _rounded(mo.sample_mle_loss(_pairs(spark, sf_dir, size=size)), "loss")
 
 
 @_query(_PAIRS + "SELECT round(-sum(CASE WHEN positive THEN score ELSE -score END) / sum(positive::INT), 6) AS loss FROM pairs")
-def loss_gibbs_mle(spark, sf_dir):
-    return _rounded(mo.gibbs_mle_loss(_pairs(spark, sf_dir)), "loss")
+def loss_gibbs_mle(spark, sf_dir, size=SIZE):
+    return _rounded(mo.gibbs_mle_loss(_pairs(spark, sf_dir, size=size)), "loss")
 
 
 @_query(_MODEL + "SELECT round(avg(exp(s) - p * s), 6) AS loss FROM (SELECT nij * n / (ni * nj) AS p, list_inner_product(a.v, b.w) AS s FROM full_model JOIN params a ON a.id = i JOIN params b ON b.id = j)")
-def loss_balanced_mle(spark, sf_dir):
-    cells = co.with_marginals(_model_cells(spark, sf_dir)).withColumn("exp_pmi", mo.exp_pmi())
-    return _rounded(mo.balanced_mle_loss(mo.sample_scores(cells, _params(spark, sf_dir))), "loss")
+def loss_balanced_mle(spark, sf_dir, size=SIZE):
+    cells = co.with_marginals(_model_cells(spark, sf_dir, size=size)).withColumn("exp_pmi", mo.exp_pmi())
+    return _rounded(mo.balanced_mle_loss(mo.sample_scores(cells, _params(spark, sf_dir, size=size))), "loss")
 
 
 @_query(_gradient_sql("sparse", f"{_GLOVE_W} * (score - ln(nij))", "v"))
-def grad_glove_v(spark, sf_dir):
-    return _rounded(mo.gradient(_sparse(spark, sf_dir), mo.glove_delta(), "v"), "g")
+def grad_glove_v(spark, sf_dir, size=SIZE):
+    return _rounded(mo.gradient(_sparse(spark, sf_dir, size=size), mo.glove_delta(), "v"), "g")
 
 
 @_query(_gradient_sql("tile", f"(nij + {_NEGATIVES}) / (1 + exp(-score)) - nij", "w"))
@@ -146,27 +153,27 @@ def grad_mle_v(spark, sf_dir):
     "s AS (SELECT id, dim, sum(d * x) AS g FROM g GROUP BY id, dim), p AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM params) "
     "SELECT id, (dim - 1)::INT AS dim, round(x - 1e-4 * coalesce(g, 0), 6) AS x FROM p LEFT JOIN s USING (id, dim)"
 )
-def descent_step_glove(spark, sf_dir):
-    slope = mo.gradient(_sparse(spark, sf_dir), mo.glove_delta(), "v")
-    after = mo.descend(_params(spark, sf_dir), slope, 1e-4, "v")
+def descent_step_glove(spark, sf_dir, size=SIZE):
+    slope = mo.gradient(_sparse(spark, sf_dir, size=size), mo.glove_delta(), "v")
+    after = mo.descend(_params(spark, sf_dir, size=size), slope, 1e-4, "v")
     return _rounded(after.select("id", F.posexplode("v").alias("dim", "x")), "x")
 
 
 @_query(_cells_sql("flat") + "SELECT i, j, round(nij * n / (ni * nj), 6) AS exp_pmi FROM full_cells")
-def cooccurrence_exp_pmi(spark, sf_dir):
-    return co.with_marginals(_cells(spark, sf_dir, "flat")).select("i", "j", F.round(mo.exp_pmi(), 6).alias("exp_pmi"))
+def cooccurrence_exp_pmi(spark, sf_dir, size=VOCABULARY):
+    return co.with_marginals(_cells(spark, sf_dir, "flat", size=size)).select("i", "j", F.round(mo.exp_pmi(), 6).alias("exp_pmi"))
 
 
 @_query(_cells_sql("flat") + "SELECT i, round(sqrt(ni / n), 9) AS p FROM rows CROSS JOIN total")
-def tempered_marginals(spark, sf_dir):
-    rows = _cells(spark, sf_dir, "flat").groupBy("i").agg(F.sum("nij").alias("ni"))
+def tempered_marginals(spark, sf_dir, size=VOCABULARY):
+    rows = _cells(spark, sf_dir, "flat", size=size).groupBy("i").agg(F.sum("nij").alias("ni"))
     total = rows.agg(F.sum("ni").alias("n"))
     return rows.crossJoin(F.broadcast(total)).select("i", F.round(mo.tempered_share(F.col("ni") / F.col("n"), 2), 9).alias("p"))
 
 
 @_query(_cells_sql("flat") + "SELECT i, j, round(nij * pow(ni / n * (nj / n), -0.5), 4) AS nij FROM full_cells")
-def tempered_cells(spark, sf_dir):
-    cells = co.with_marginals(_cells(spark, sf_dir, "flat"))
+def tempered_cells(spark, sf_dir, size=VOCABULARY):
+    cells = co.with_marginals(_cells(spark, sf_dir, "flat", size=size))
     return cells.select("i", "j", F.round(mo.tempered(F.col("nij"), 2), 4).alias("nij"))
 
 
@@ -174,9 +181,9 @@ def tempered_cells(spark, sf_dir):
     f"WITH {_VOCAB}, said AS (SELECT unnest(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS token FROM conversations) "
     "SELECT coalesce(id, -1)::INT AS id, count(*) AS n FROM said LEFT JOIN vocab USING (token) GROUP BY 1"
 )
-def dictionary_lookup_default(spark, sf_dir):
+def dictionary_lookup_default(spark, sf_dir, size=VOCABULARY):
     said = tokens(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id")
-    return co.lookup(said, _vocab(spark, sf_dir), -1).groupBy("id").agg(F.count("*").alias("n"))
+    return co.lookup(said, _vocab(spark, sf_dir, size=size), -1).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @_query(
