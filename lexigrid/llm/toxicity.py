@@ -46,6 +46,41 @@ def subsequences(word: str, decay: float, span: int) -> dict[str, float]:
     return dict(found)
 
 
+#: Marks within a word or between its pieces: whatever is neither letter, digit nor white space, and the underscore.
+_BETWEEN = re.compile(r"[^\w\s]+|_+")
+
+
+def _joined(sentence: list[str]) -> list[str]:
+    """What the words of a text may spell once marks and spaces between their pieces are taken out.
+
+    A word with marks inside is read without them; neighbours of under four characters each, as in
+    'i d i o t', are read as one, and a piece of under four characters is read with each neighbour as
+    well, as in 'stu pid'. Sentence ends are marks like others here.
+    """
+    out: list[str] = []
+    plain = [w if w.isalnum() else _BETWEEN.sub("", w) for w in sentence]
+    runs: dict[int, list[str]] = {1: [], 3: []}
+    last = len(plain) - 1
+    for k, bare in enumerate(plain):
+        n = len(bare)
+        if n >= 4:
+            if n < len(sentence[k]) and bare != sentence[k].strip(_MARKS):
+                out.append(bare)
+        elif n:
+            if k:
+                out.append(plain[k - 1] + bare)
+            if k < last and len(plain[k + 1]) >= 4:
+                out.append(bare + plain[k + 1])
+        for most, run in runs.items():
+            if n <= most:
+                run += [bare] * (n > 0)
+            if run and (n > most or k == last):
+                if len(run) > 2:
+                    out.append("".join(run))
+                run.clear()
+    return out
+
+
 class Landmarks:
     """The normalised kernel of a word with each landmark word; below `floor` it counts as zero."""
 
@@ -115,12 +150,9 @@ class Landmarks:
             bound += np.bincount(owner[at], weights=weight, minlength=len(words)) * value
         return (bound > 0) & (bound >= 0.999 * self.floor * np.sqrt(square))
 
-    def learn(self, texts: list[str]) -> None:
-        """Put the words of these lower-case texts that are like a landmark among the known ones."""
-        new = set()
-        for text in texts:
-            new.update(_words(text))
-        new = [w for w in new if w not in self.known]
+    def learn(self, words: set[str]) -> None:
+        """Put these lower-case words, with their likeness to the landmarks, among the known ones."""
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > _KEPT_WORDS:
             self.known.clear()
         for at in range(0, len(new), 50_000):
@@ -130,25 +162,39 @@ class Landmarks:
                 self.known[w] = self._kernel(b) if ok else ()
 
     def sentences(self, text: str) -> Iterator[dict[int, float]]:
-        """For each sentence with a word like a landmark: the best kernel value of each landmark."""
+        """For each sentence with a word like a landmark: the best kernel value of each landmark.
+
+        What pieces spell when joined is one more sentence a line, where it is more than the plain sentences hold.
+        """
         low = text.lower()
-        words = _words(low)
+        joined = [_joined(line.split()) for line in low.split("\n")]
+        words = _words(low).union(*joined)
         if not words <= self.known.keys():
-            self.learn([low])
+            self.learn(words)
             if not words <= self.known.keys():
                 self.known.clear()
-                self.learn([low])
+                self.learn(words)
         live = {w: x for w in words if (x := self.known[w])}
         if not live:
             return
+        top: dict[int, float] = {}
         for sentence in _SENTENCE.split(low):
-            best: dict[int, float] = {}
-            for w in sentence.split():
-                for k, v in live.get(w, ()):
-                    if v > best.get(k, 0.0):
-                        best[k] = v
-            if best:
+            if best := self._best(sentence.split(), live, {}):
                 yield best
+                top |= {k: v for k, v in best.items() if v > top.get(k, 0.0)}
+        for line in joined:
+            if best := self._best(line, live, top):
+                yield best
+
+    @staticmethod
+    def _best(words: list[str], live: dict[str, tuple], over: dict[int, float]) -> dict[int, float]:
+        """The best kernel value of each landmark among these words, if over the stated one."""
+        best: dict[int, float] = {}
+        for w in words:
+            for k, v in live.get(w, ()):
+                if v > best.get(k, over.get(k, 0.0)):
+                    best[k] = v
+        return best
 
     def gram(self):
         import numpy as np

@@ -52,6 +52,14 @@ def test_insult_before_a_sentence_end_counts():
     assert model.margin(landmarks, "He is here. A dimwit!") == pytest.approx(1.0)
 
 
+def test_spelled_out_insults_count():
+    landmarks = toxicity.Landmarks(["idiot", "stupid"])
+    for spelled in ("i-d-i-o-t", "i*d*i*o*t", "i d i o t", "i.d.i.o.t", "i. d. i. o. t!", "i_d_i_o_t", "stu pid", "st.upid", "s-t-u-p-i-d", "st upid,", "i - d - i - o - t"):
+        best = [s for s in landmarks.sentences(f"The river: such {spelled}\nand more")]
+        assert best and max(max(s.values()) for s in best) > 0.9, spelled
+    assert not list(landmarks.sentences("a river i do not know, it is on\nto the sea"))
+
+
 def test_bound_never_hides_a_word():
     landmarks = toxicity.Landmarks(["blockhead", "dimwit", "lowei"])
     rng = random.Random(1)
