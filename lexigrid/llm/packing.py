@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,19 +18,30 @@ PIECE_SCHEMA = (
 _TAIL = ".,!?;:"
 #: Words whose ids one Python worker keeps, some 220 bytes each; when there are more, it starts afresh.
 _KEPT_WORDS = 1_000_000
+#: Bytes of texts that are split and encoded together.
+_SLICE = 8e6
 
 
 def _plain(word: str) -> bool:
     """Only Latin letters that are one code point in any normal form and have one lower case."""
-    return word.isalpha() and max(word) < "\u0180"
+    return word.isalpha() and (word.isascii() or max(word) < "\u0180")
+
+
+def _by_words(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, drops white space, and marks the end of a word, so that words can be encoded apart."""
+    spec = json.loads(tokenizer.to_str())
+    return spec["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in json.dumps(spec["normalizer"]) and all(
+        tokenizer.encode(text, add_special_tokens=False).ids == [i for w in text.split() for i in tokenizer.encode(w, add_special_tokens=False).ids]
+        for text in ("River  stone, (letter)\nGarden's 12", "Êtes-vous là? \t a.b")
+    )
 
 
 class WordIds(dict):
     """Token ids of each space-separated word as little-endian uint32 bytes.
 
-    The tokenizer drops white space and never joins tokens across it, so a text's ids are its
-    words' ids in a row. Ids that end a run of letters carry the vocabulary's word-end mark,
-    which lets many unseen words be encoded in one call and cut apart again.
+    Where the tokenizer drops white space and never joins tokens across it, a text's ids are its words'
+    ids in a row. Ids that end a run of letters carry the vocabulary's word-end mark, which lets many
+    unseen words be encoded in one call and cut apart again. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str, kept: int = _KEPT_WORDS):
@@ -40,96 +51,78 @@ class WordIds(dict):
         super().__init__()
         self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _by_words(self.tokenizer)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.word_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.word_end[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def __missing__(self, word: str) -> bytes:
+    def _each(self, words: list[str]) -> list[bytes]:
         import numpy as np
 
-        core = word.rstrip(_TAIL)
-        if core and core != word and _plain(core):
-            value = self[core] + self[word[len(core) :]]
-        elif word and _plain(word) and (low := word.lower()) != word:
-            value = self[low]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            value = np.asarray(ids, dtype="<u4").tobytes()
-        self[word] = value
-        return value
-
-    def learn(self, words: set[str]) -> None:
-        """Encode unseen plain words together."""
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Put unseen words among the known ones: plain words in one call, the others each on its own."""
         import numpy as np
 
-        if len(self) > self.kept:
-            self.clear()
-        unseen = words.difference(self)
-        cores = list({core for w in unseen if (core := w.rstrip(_TAIL).lower()) not in self and core and _plain(core)})
-        if len(cores) < 2:
-            return
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(self.word_end[ids]) + 1
-        if len(ends) != len(cores):
-            return
-        data, start = ids.tobytes(), 0
-        for word, end in zip(cores, (4 * ends).tolist(), strict=True):
-            self[word] = data[start:end]
-            start = end
+        bare = [word.rstrip(_TAIL) for word in words]
+        cores = [core.lower() if core and _plain(core) else "" for core in bare]
+        tails = [word[len(core) :] for word, core in zip(words, bare, strict=True)]
+        unseen = list({core for core in cores if core and core not in self})
+        others = list({w for word, core, tail in zip(words, cores, tails, strict=True) if (w := tail if core else word) not in self})
+        self.update(zip(others, self._each(others), strict=True))
+        if unseen:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(unseen):
+                data, upto = ids.tobytes(), (4 * ends).tolist()
+                self.update(zip(unseen, (data[i:j] for i, j in zip([0, *upto[:-1]], upto, strict=True)), strict=True))
+            else:
+                self.update(zip(unseen, self._each(unseen), strict=True))
+        for word, core, tail in zip(words, cores, tails, strict=True):
+            if core:
+                self[word] = self[core] + self[tail] if tail else self[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            for space in "\n\t\r":
-                if space in text:
-                    text = text.replace(space, " ")
-            split.append(text.split(" "))
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
-
-
-class _Open:
-    """Sequences with room left, by room: the cheapest with at least some room in log2(capacity) steps."""
-
-    def __init__(self, capacity: int):
-        self.size = 1 << capacity.bit_length()
-        self.heaps: list[list] = [[] for _ in range(self.size)]
-        self.best: list = [None] * (2 * self.size)
-
-    def _renew(self, room: int) -> None:
-        at = room + self.size
-        self.best[at] = (*self.heaps[room][0], room) if self.heaps[room] else None
-        at >>= 1
-        while at:
-            a, b = self.best[2 * at], self.best[2 * at + 1]
-            self.best[at] = a if b is None or (a is not None and a <= b) else b
-            at >>= 1
-
-    def add(self, room: int, cost: float, sequence: int) -> None:
-        if room > 0:
-            heappush(self.heaps[room], (cost, sequence))
-            self._renew(room)
-
-    def _take(self, room: int) -> tuple[float, int, int]:
-        cost, sequence = heappop(self.heaps[room])
-        self._renew(room)
-        return cost, sequence, room
-
-    def cheapest(self, need: int) -> tuple[float, int, int] | None:
-        """(cost, sequence, room) of the cheapest sequence with room >= need, taken out."""
-        low, high, found = need + self.size, 2 * self.size, None
-        while low < high:
-            if low & 1:
-                if (x := self.best[low]) is not None and (found is None or x < found):
-                    found = x
-                low += 1
-            low >>= 1
-            high >>= 1
-        return self._take(found[2]) if found else None
-
-    def roomiest(self) -> tuple[float, int, int] | None:
-        room = next((r for r in range(self.size - 1, 0, -1) if self.heaps[r]), None)
-        return None if room is None else self._take(room)
+        ids, ends = self.encoded(pa.array(texts, pa.string()))
+        upto = ends.tolist()
+        return [ids[i:j].tobytes() for i, j in zip([0, *upto[:-1]], upto, strict=True)]
+
+    def encoded(self, texts: pa.Array) -> tuple:
+        """(ids, ends): the ids of all texts in a row, and how many there are up to the end of each."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not self.by_words:
+            each = self._each(texts.to_pylist())
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(x) // 4 for x in each], dtype=np.int64)
+        for space in "\n\t\r":
+            texts = pc.replace_substring(texts, space, " ")
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if "" not in self:
+            self[""] = b""
+        unseen = [w for w in distinct if w not in self]
+        if unseen:
+            if len(self) + len(unseen) > self.kept:
+                self.clear()
+                self[""] = b""
+                unseen = distinct
+            self.learn(unseen)
+        known = [self[w] for w in distinct]
+        flat, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int32, len(known)) // 4
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        ids, upto = [flat[:0]], np.concatenate([[0], np.cumsum(sizes[which], dtype=np.int64)])
+        for at in range(0, len(which), 65_536):
+            part = which[at : at + 65_536]
+            each = sizes[part]
+            ends = np.cumsum(each, dtype=np.int32)
+            # A word's ids lie in `flat` from its first place on.
+            ids.append(flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(first[part] - ends + each, each)])
+        words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.concatenate(ids), upto[np.cumsum(words)]
 
 
 def balance(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -140,6 +133,8 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float)
     room, a piece is cut to fill the roomiest sequences. As many sequences are open as the tokens
     need, so all but one are full at the end.
     """
+    import numpy as np
+
     pieces, rest, sequence = [], [], 0
     for k, n in enumerate(lengths):
         full = n // capacity
@@ -150,23 +145,21 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float)
             rest.append((n % capacity, k, full * capacity))
     rest.sort(key=lambda x: (-x[0], x[1]))
     total = sum(x[0] for x in rest)
-    room_left = _Open(capacity)
-    for _ in range(total // capacity):
-        room_left.add(capacity, 0.0, sequence)
-        sequence += 1
+    room = np.full(-(-total // capacity), capacity, np.int64)
     if total % capacity:
-        room_left.add(total % capacity, 0.0, sequence)
-        sequence += 1
-    filled: dict[int, int] = {}
+        room[-1] = total % capacity
+    filled, cost = np.zeros(len(room), np.int64), np.zeros(len(room))
     for n, k, start in rest:
         while n:
-            found = room_left.cheapest(n) or room_left.roomiest()
-            cost, at, room = found
-            take = min(n, room)
-            offset = filled.get(at, 0)
-            pieces.append((k, start, take, at, offset))
-            filled[at] = offset + take
-            room_left.add(room - take, cost + linear * take + quadratic * take * take, at)
+            at = int(np.where(room >= n, cost, np.inf).argmin())
+            if room[at] < n:
+                # None has room for the whole piece: the cheapest of the roomiest is filled.
+                at = int(np.where(room == room.max(), cost, np.inf).argmin())
+            take = min(n, int(room[at]))
+            pieces.append((k, start, take, sequence + at, int(filled[at])))
+            filled[at] += take
+            room[at] -= take
+            cost[at] += linear * take + quadratic * take * take
             n -= take
             start += take
     return pieces
@@ -179,6 +172,8 @@ def _packer(path: str, end_id: int, capacity: int, block_tokens: int, linear: fl
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
@@ -193,26 +188,24 @@ def _packer(path: str, end_id: int, capacity: int, block_tokens: int, linear: fl
         def packed(block: list[tuple[int, bytes]]) -> pa.RecordBatch:
             nonlocal base
             lengths = [len(ids) // 4 for _, ids in block]
-            out: list[list] = [[] for _ in names]
-            last = -1
-            for k, start, n, sequence, offset in balance(lengths, capacity, linear, quadratic):
-                doc_id, ids = block[k]
-                row = (doc_id, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), lengths[k], base + sequence, offset)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-                last = max(last, sequence)
-            base += last + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in out], names=names)
+            document, start, length, sequence, offset = zip(*balance(lengths, capacity, linear, quadratic), strict=True)
+            crc = [zlib.crc32(block[k][1][4 * a : 4 * (a + n)]) for k, a, n in zip(document, start, length, strict=True)]
+            numbers = np.array(sequence, np.int64) + base
+            columns = [[block[k][0] for k in document], start, length, crc, [lengths[k] for k in document], numbers, offset]
+            base = int(numbers.max()) + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
 
         block, held = [], 0
         for batch in batches:
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(batch.nbytes, 1))))
+            step = max(1, min(batch.num_rows, int(batch.num_rows * _SLICE / max(batch.nbytes, 1))))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                texts = words.encode(part.column("text").to_pylist())
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                    block.append((doc_id, ids + end))
-                    held += len(ids) // 4 + 1
+                ids, ends = words.encoded(part.column("text"))
+                begin = 0
+                for doc_id, upto in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                    block.append((doc_id, ids[begin:upto].tobytes() + end))
+                    held += upto - begin + 1
+                    begin = upto
                     if held >= block_tokens:
                         yield packed(block)
                         block, held = [], 0
@@ -243,7 +236,7 @@ def pack_documents(
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     A null or empty text is a document of the end id alone. Rows that repeat are documents of their
-    own, and a null id stays null. An empty table gives no rows.
+    own, and a null id stays null. An empty table gives no rows. Columns of other names are not read.
     """
     return id_and_text(docs, id_col, text_col).mapInArrow(
         _packer(tokenizer_path, end_id, capacity, block_tokens, linear, quadratic), PIECE_SCHEMA
