@@ -1,12 +1,13 @@
-"""Toxicity: a support vector machine on a gapped-subsequence kernel, through Nyström landmarks."""
+"""Toxicity: a support vector machine on a gapped-subsequence kernel of letters, through Nyström landmarks."""
 
 from __future__ import annotations
 
-import math
-import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
+from itertools import product
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,215 +15,286 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.common import fold, id_and_text, stored
 
-_SENTENCE = re.compile(r"[\n.!?]+")
-_MARKS = ".,;:!?\"'()[]{}"
-_KEPT_WORDS = 500_000
-
+#: Letters of a subsequence, and how far apart two neighbours among them may be: one other letter may stand between.
+ORDER = 4
+GAPS = (1, 2)
+DECAY = 0.5
+#: The code that stands before and after the letters of a string.
+EDGE = 31
+#: A piece of a word that spaces take apart has at most so many letters.
+SHORT = 3
+#: Strings of a text that add up to its value: one chance likeness is not yet an insult.
+COUNTED = 3
+_NUMBERS = 1 << 5 * ORDER
+
+
+@lru_cache(maxsize=1)
+def _letter_codes():
+    """By code point: 1 to 26 for a to z in either case and with any accent, 27 to 30 for other letters, else 0."""
+    import numpy as np
 
-def _words(low: str) -> set[str]:
-    """The words of the sentences of a lower-case text, as sentence.split() gives them: the one form in which they are kept and looked up."""
-    return set(low.replace(".", " ").replace("!", " ").replace("?", " ").split())
+    out = np.zeros(0x110000, np.uint8)
+    for point in range(0x110000):
+        c = chr(point)
+        if c.isalpha():
+            base = ord(unicodedata.normalize("NFKD", c).lower()[0])
+            out[point] = base - 96 if 97 <= base <= 122 else 27 + base % 4
+    return out
 
 
-def _slot(a, b, c, d):
-    """Place of a subsequence in a table of 2^20."""
+def letters(text: str):
+    """The letters of a text as codes; marks, digits and white space between them are left out."""
     import numpy as np
 
-    h = ((a * np.uint32(0x9E3779B1) + b) * np.uint32(0x85EBCA77) + c) * np.uint32(0xC2B2AE3D) + d * np.uint32(0x27D4EB2F)
-    return (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(12)
+    codes = _letter_codes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    return codes[codes > 0]
 
 
-def subsequences(word: str, decay: float, span: int) -> dict[str, float]:
-    """Weight of each subsequence of four characters that spans at most `span`: the sum of decay^span."""
-    found: dict[str, float] = defaultdict(float)
-    n = len(word)
-    for i in range(n - 3):
-        end = min(n, i + span)
-        for j in range(i + 1, end - 2):
-            for k in range(j + 1, end - 1):
-                head = word[i] + word[j] + word[k]
-                for m in range(k + 1, end):
-                    found[head + word[m]] += decay ** (m - i + 1)
-    return dict(found)
+class Strings:
+    """Strings of letter codes in a row, `sizes` codes each, set between edges and apart from one another."""
 
+    def __init__(self, flat, sizes):
+        import numpy as np
 
-#: Marks within a word or between its pieces: whatever is neither letter, digit nor white space, and the underscore.
-_BETWEEN = re.compile(r"[^\w\s]+|_+")
+        self.sizes = np.asarray(sizes, np.int64)
+        gap = ORDER * max(GAPS)
+        self.starts = np.cumsum(self.sizes + gap) - self.sizes - gap
+        self.x = np.zeros(int((self.sizes + gap).sum()), np.int32)
+        begin = np.repeat(self.starts + 1 - (np.cumsum(self.sizes) - self.sizes), self.sizes)
+        self.x[np.arange(len(flat)) + begin] = flat
+        self.x[self.starts] = self.x[self.starts + 1 + self.sizes] = EDGE
 
+    def subsequences(self) -> Iterator[tuple]:
+        """(weight, numbers): for every pattern of gaps, what begins at each place, as a number; 0 is in no string.
 
-def _joined(sentence: list[str]) -> list[str]:
-    """What the words of a text may spell once marks and spaces between their pieces are taken out.
+        The weight is DECAY^span, of the letters from the first to the last.
+        """
+        import numpy as np
 
-    A word with marks inside is read without them; neighbours of under four characters each, as in
-    'i d i o t', are read as one, and a piece of under four characters is read with each neighbour as
-    well, as in 'stu pid'. Sentence ends are marks like others here.
-    """
-    out: list[str] = []
-    plain = [w if w.isalnum() else _BETWEEN.sub("", w) for w in sentence]
-    runs: dict[int, list[str]] = {1: [], 3: []}
-    last = len(plain) - 1
-    for k, bare in enumerate(plain):
-        n = len(bare)
-        if n >= 4:
-            if n < len(sentence[k]) and bare != sentence[k].strip(_MARKS):
-                out.append(bare)
-        elif n:
-            if k:
-                out.append(plain[k - 1] + bare)
-            if k < last and len(plain[k + 1]) >= 4:
-                out.append(bare + plain[k + 1])
-        for most, run in runs.items():
-            if n <= most:
-                run += [bare] * (n > 0)
-            if run and (n > most or k == last):
-                if len(run) > 2:
-                    out.append("".join(run))
-                run.clear()
-    return out
+        x = self.x
+        pairs = {g: x[:-g] << 5 | x[g:] for g in GAPS}
+        for first, second, third in product(GAPS, repeat=3):
+            reach = first + second + third
+            n = len(x) - reach
+            if n > 0:
+                numbers = pairs[first][:n] << 10 | pairs[third][first + second : first + second + n]
+                inside = (x[:n] > 0) & (x[first : first + n] > 0) & (x[first + second : first + second + n] > 0) & (x[reach:] > 0)
+                yield DECAY ** (reach + 1), np.where(inside, numbers, 0)
+
+    def norms(self):
+        """The length of each string's vector, if none of its subsequences came twice."""
+        import numpy as np
+
+        square = np.zeros(len(self.sizes))
+        for gaps in product(GAPS, repeat=3):
+            square += np.maximum(self.sizes + 2 - sum(gaps), 0) * DECAY ** (2 * sum(gaps) + 2)
+        return np.sqrt(np.maximum(square, 1e-12))
+
+    def products(self, table):
+        """For each string the sum of `table` over its subsequences, by its norm."""
+        import numpy as np
+
+        total = np.zeros(len(self.x))
+        for weight, numbers in self.subsequences():
+            total[: len(numbers)] += weight * table.take(numbers)
+        if not len(total):
+            return np.zeros(0)
+        return np.add.reduceat(total, self.starts) / self.norms()
+
+
+def _of_word(word: str) -> Strings:
+    """A word, or one that begins so where it ends with a star: that has no edge at its end."""
+    found = Strings(letters(word), [len(letters(word))])
+    if word.endswith("*"):
+        found.x[found.x.nonzero()[0][-1]] = 0
+    return found
 
 
 class Landmarks:
-    """The normalised kernel of a word with each landmark word; below `floor` it counts as zero."""
+    """Words with their subsequences as vectors over the norm: row k of `vectors` by the numbers of `columns`."""
 
-    def __init__(self, words: list[str], decay: float = 0.5, span: int = 6, floor: float = 0.15):
+    def __init__(self, words: list[str]):
         import numpy as np
 
-        self.words, self.decay, self.span, self.floor = words, decay, span, floor
-        self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for k, word in enumerate(words):
-            own = subsequences(word, decay, span)
-            norm = math.sqrt(sum(v * v for v in own.values())) or 1.0
-            for u, v in own.items():
-                self.postings[u].append((k, v / norm))
-        self.heads = [{u[:n] for u in self.postings} for n in (1, 2, 3)]
-        self.known: dict[str, tuple] = {}
-        self.most = np.zeros(1 << 20, np.float32)
-        for u, held in self.postings.items():
-            slot = int(_slot(*(np.array([ord(c)], np.uint32) for c in u))[0])
-            self.most[slot] = max(self.most[slot], max(w for _, w in held))
-
-    def _kernel(self, word: str) -> tuple:
-        one, two, three = self.heads
-        shared: dict[str, float] = defaultdict(float)
-        n, span, decay = len(word), self.span, self.decay
-        for i in range(n - 3):
-            a = word[i]
-            if a not in one:
-                continue
-            end = min(n, i + span)
-            for j in range(i + 1, end - 2):
-                ab = a + word[j]
-                if ab not in two:
-                    continue
-                for k in range(j + 1, end - 1):
-                    abc = ab + word[k]
-                    if abc not in three:
-                        continue
-                    for m in range(k + 1, end):
-                        if (u := abc + word[m]) in self.postings:
-                            shared[u] += decay ** (m - i + 1)
-        if not shared:
-            return ()
-        out: dict[int, float] = defaultdict(float)
-        for u, v in shared.items():
-            for k, w in self.postings[u]:
-                out[k] += v * w
-        norm = math.sqrt(sum(v * v for v in subsequences(word, decay, span).values()))
-        return tuple((k, v / norm) for k, v in out.items() if v >= self.floor * norm)
-
-    def _may_pass(self, words: list[str]):
-        """Which words can reach the floor: a bound on the kernel from hashed subsequences, never too low."""
+        self.words = words
+        each: list[dict[int, float]] = []
+        for word in words:
+            found: dict[int, float] = defaultdict(float)
+            for weight, numbers in _of_word(word).subsequences():
+                for u in numbers[numbers > 0].tolist():
+                    found[u] += weight
+            each.append(found)
+        self.columns = np.array(sorted(set().union(*each)), np.int64)
+        at = {u: k for k, u in enumerate(self.columns.tolist())}
+        self.vectors = np.zeros((len(words), len(self.columns)))
+        for k, found in enumerate(each):
+            for u, v in found.items():
+                self.vectors[k, at[u]] = v
+        self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
+
+    def gram(self):
+        return self.vectors @ self.vectors.T
+
+    def table(self, weights):
+        """The weighted sum of all landmarks' vectors by number: one lookup a subsequence gives the sum of all kernel values."""
         import numpy as np
 
-        gap = "\0" * self.span
-        codes = np.frombuffer(gap.join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(len(words)), [len(w) + self.span for w in words])
-        bound, square = np.zeros(len(words)), np.zeros(len(words))
-        n = len(codes) - self.span
-        if n <= 0:
-            return np.zeros(len(words), bool)
-        for a, b, c in combinations(range(1, self.span), 3):
-            parts = [codes[k : k + n] for k in (0, a, b, c)]
-            at = np.flatnonzero((parts[0] > 0) & (parts[3] > 0))
-            value = self.decay ** (c + 1)
-            square += np.bincount(owner[at], minlength=len(words)) * value**2
-            weight = self.most[_slot(*(p[at] for p in parts))]
-            bound += np.bincount(owner[at], weights=weight, minlength=len(words)) * value
-        return (bound > 0) & (bound >= 0.999 * self.floor * np.sqrt(square))
-
-    def learn(self, words: set[str]) -> None:
-        """Put these lower-case words, with their likeness to the landmarks, among the known ones."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _KEPT_WORDS:
-            self.known.clear()
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            bare = [w.strip(_MARKS) for w in some]
-            for w, b, ok in zip(some, bare, self._may_pass(bare).tolist(), strict=True):
-                self.known[w] = self._kernel(b) if ok else ()
-
-    def sentences(self, text: str) -> Iterator[dict[int, float]]:
-        """For each sentence with a word like a landmark: the best kernel value of each landmark.
-
-        What pieces spell when joined is one more sentence a line, where it is more than the plain sentences hold.
-        """
-        low = text.lower()
-        joined = [_joined(line.split()) for line in low.split("\n")]
-        words = _words(low).union(*joined)
-        if not words <= self.known.keys():
-            self.learn(words)
-            if not words <= self.known.keys():
-                self.known.clear()
-                self.learn(words)
-        live = {w: x for w in words if (x := self.known[w])}
-        if not live:
-            return
-        top: dict[int, float] = {}
-        for sentence in _SENTENCE.split(low):
-            if best := self._best(sentence.split(), live, {}):
-                yield best
-                top |= {k: v for k, v in best.items() if v > top.get(k, 0.0)}
-        for line in joined:
-            if best := self._best(line, live, top):
-                yield best
-
-    @staticmethod
-    def _best(words: list[str], live: dict[str, tuple], over: dict[int, float]) -> dict[int, float]:
-        """The best kernel value of each landmark among these words, if over the stated one."""
-        best: dict[int, float] = {}
-        for w in words:
-            for k, v in live.get(w, ()):
-                if v > best.get(k, over.get(k, 0.0)):
-                    best[k] = v
-        return best
+        out = np.zeros(_NUMBERS, np.float32)
+        out[self.columns] = np.asarray(weights) @ self.vectors
+        return out
 
-    def gram(self):
+    def bound(self):
+        """The largest entry of any landmark by number."""
         import numpy as np
 
-        out = np.eye(len(self.words))
-        for i, w in enumerate(self.words):
-            for k, v in self._kernel(w):
-                out[i, k] = v
-        return (out + out.T) / 2
+        out = np.zeros(_NUMBERS, np.float32)
+        out[self.columns] = self.vectors.max(axis=0, initial=0.0)
+        return out
+
+    def values(self, strings: Strings):
+        """The kernel of each string with each landmark."""
+        import numpy as np
+
+        out = np.zeros((len(strings.sizes), len(self.words)))
+        owner = np.repeat(np.arange(len(strings.sizes)), np.diff(np.append(strings.starts, len(strings.x))))
+        place = np.full(_NUMBERS, -1, np.int64)
+        place[self.columns] = np.arange(len(self.columns))
+        for weight, numbers in strings.subsequences():
+            column = place[numbers]
+            at = np.flatnonzero(column >= 0)
+            np.add.at(out, owner[at], weight * self.vectors[:, column[at]].T)
+        return out / strings.norms()[:, None]
+
+
+class Readings(NamedTuple):
+    """What texts may spell: the strings, and where they occur."""
+
+    strings: Strings
+    owner: object  # of each string: itself, or the word of which it leaves letters out
+    text: object  # of each occurrence
+    string: object  # of each occurrence
+    left: object  # words of each pair
+    right: object
+    pair: object  # occurrences that are pairs
+    words: object  # of each text: how many
+
+    def occurring(self, value):
+        """(occurrences, their values) with a value above 0, by text and falling value; a pair only if more than twice its words."""
+        import numpy as np
+
+        best = np.zeros(len(self.strings.sizes))
+        np.maximum.at(best, self.owner, value)
+        found = best[self.string]
+        found[self.pair[found[self.pair] <= 2 * np.maximum(best[self.left], best[self.right])]] = 0
+        some = np.flatnonzero(found > 1e-6)
+        some = some[np.lexsort((some, -found[some], self.text[some]))]
+        return some, found[some]
+
+
+def _ranks(groups):
+    """Place of each row within its group, from 0; the groups lie together in order."""
+    import numpy as np
+
+    return np.arange(len(groups)) - np.searchsorted(groups, groups)
+
+
+def readings(texts: pa.Array) -> Readings:
+    """
+
+    A word between white space is read without its marks and digits. Words of eight letters and more are
+    also read without every other letter, as 'bxlxoxcxkx'. A piece of up to three letters is also read with
+    each neighbour, as 'stu pid', and three such pieces and more in a row as one, as 'i d i o t'.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    split = pc.utf8_split_whitespace(texts)
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    line = np.frombuffer("\0".join([*distinct, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = _letter_codes()[line]
+    word = np.cumsum(line == 0) - (line == 0)
+    flat, size = codes[codes > 0], np.bincount(word[codes > 0], minlength=len(distinct))
+    first = np.cumsum(size) - size
+    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    spelled = size[which] > 0
+    which, text = which[spelled], text[spelled]
+    n = size[which]
+
+    def joined(words, counts):
+        """Letters and sizes of strings made of `counts` words each."""
+        each = size[words]
+        at = np.arange(each.sum()) + np.repeat(first[words] - (np.cumsum(each) - each), each)
+        return flat[at], np.add.reduceat(each, np.cumsum(counts) - counts) if len(counts) else each
+
+    held = [(flat, size)]
+    owner, texts_of, strings_of = [np.arange(len(size))], [text], [which]
+    many = len(size)
+    # Every other letter of long words, from the first and from the second.
+    long = np.flatnonzero(size >= 8)
+    for skip in (0, 1):
+        each = (size[long] + 1 - skip) // 2
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        held.append((flat[np.repeat(first[long], each) + 2 * at + skip], each))
+        owner.append(long)
+        many += len(long)
+    # A short piece and its neighbour.
+    two = np.flatnonzero((text[1:] == text[:-1]) & ((n[1:] <= SHORT) | (n[:-1] <= SHORT))) if len(n) > 1 else np.zeros(0, np.int64)
+    pairs, of_pair = np.unique(which[two] * len(distinct) + which[two + 1], return_inverse=True)
+    both = np.stack([pairs // max(1, len(distinct)), pairs % max(1, len(distinct))], 1).ravel()
+    held.append(joined(both, np.full(len(pairs), 2)))
+    owner.append(np.arange(many, many + len(pairs)))
+    texts_of.append(text[two]), strings_of.append(many + of_pair)
+    many += len(pairs)
+    # Single letters, and short pieces, in a row.
+    for most in (1, SHORT):
+        inside = n <= most
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], np.where(inside, text + 1, 0), [0]])))
+        runs = [(a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b - a > 2 and inside[a]]
+        if runs:
+            a, b = np.array(runs).T
+            at = np.arange((b - a).sum()) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
+            held.append(joined(which[at], b - a))
+            owner.append(np.arange(many, many + len(runs)))
+            texts_of.append(text[a]), strings_of.append(np.arange(many, many + len(runs)))
+            many += len(runs)
+    spells = Strings(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+    return Readings(spells, *map(np.concatenate, (owner, texts_of, strings_of)), which[two], which[two + 1], np.arange(len(which), len(which) + len(two)), np.bincount(text, minlength=len(texts)))
+
+
+def strongest(texts: pa.Array, table) -> tuple:
+    """For each text, and with the logarithm of its number of words, the sum of its COUNTED largest values above 0: of its strings, repeats included, as Strings.products gives them."""
+    import numpy as np
+
+    found = readings(texts)
+    some, value = found.occurring(found.strings.products(table))
+    text = found.text[some]
+    first = _ranks(text) < COUNTED
+    return np.bincount(text[first], weights=value[first], minlength=len(texts)), np.log1p(found.words)
 
 
 class Model:
-    """score = logistic(slope * f + shift), f the SVM's largest value over the sentences of a text."""
+    """score = logistic(slope * f + shift), f the SVM's value of a text: its strongest strings, its length and the bias."""
+
+    def __init__(self, words, weights, length, bias, slope, shift):
+        self.words, self.weights, self.length, self.bias, self.slope, self.shift = words, weights, length, bias, slope, shift
 
-    def __init__(self, words, weights, bias, slope, shift):
-        self.words, self.weights, self.bias, self.slope, self.shift = words, weights, bias, slope, shift
+    def scorer(self):
+        """A function from an Arrow array of texts to their scores."""
+        import numpy as np
 
-    def margin(self, landmarks: Landmarks, text: str) -> float:
-        w, best = self.weights, 0.0
-        for s in landmarks.sentences(text):
-            best = max(best, sum(w[k] * v for k, v in s.items()))
-        return best + self.bias
+        table = Landmarks(self.words).table(self.weights)
 
-    def score(self, margin: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.shift))))
+        def scores(texts: pa.Array):
+            value, length = strongest(texts, table)
+            f = value + self.length * length + self.bias
+            return 1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -30, 30)))
 
+        return scores
 
-def _svm(x, y, weight, rounds: int = 400, penalty: float = 1e-3):
+
+def _svm(x, y, weight, rounds: int = 400, penalty: float = 1e-2):
     """Squared hinge with an L2 penalty, by accelerated gradient steps; weight is each row's share."""
     import numpy as np
 
@@ -237,70 +309,89 @@ def _svm(x, y, weight, rounds: int = 400, penalty: float = 1e-3):
 
 
 def _platt(f, y):
-    """Slope and shift of the logistic fit with smoothed targets."""
+    """Slope and shift of the logistic fit with smoothed targets, where some of class 1 show nothing and are like class 0.
+
+    Expectation-maximisation: a row of class 1 counts as far as its value, and not that share, explains its label.
+    """
     import numpy as np
 
     a = np.stack([f, np.ones(len(f))], 1)
     n1, n0 = y.sum(), len(y) - y.sum()
-    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    w = np.array([1.0, 0.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + 1e-6 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, a.T @ (p - target)), -2, 2)
+    share, p = 0.05, 1 / (1 + np.exp(-np.clip(4 * f, -30, 30)))
+    w = np.array([4.0, 0.0])
+    for _ in range(30):
+        known = p / (p + (1 - p) * share)
+        target = np.where(y > 0, known * (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        share = max(1e-4, (y * (1 - known)).sum() / ((y * (1 - known)).sum() + n0))
+        for _ in range(10):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + 1e-6 * np.eye(2)
+            w = w - np.clip(np.linalg.solve(h, a.T @ (p - target)), -2, 2)
     return float(max(w[0], 0.0)), float(w[1])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about 4 MB."""
+    for batch in batches:
+        step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(batch.nbytes, 1))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Once for each text: its words of 4 to 40 characters, and their first 4, 5 and 6, which inflected words share."""
+    """Once for each text: its words in lower case without marks, and how they begin, which inflected words share."""
     from lexigrid.llm.common import rows_of
 
     for batch in batches:
         for text, label in rows_of([batch], "text", "toxic"):
-            bare = {b for w in _words(text.lower()) if 4 <= len(b := w.strip(_MARKS)) <= 40}
-            found = list(bare.union(*({b[:n] for b in bare} for n in (4, 5, 6))))
+            bare = {b for w in text.lower().split() if len(b := "".join(filter(str.isalpha, w))) > 2}
+            found = list(bare.union(*({b[:n] + "*" for b in bare if len(b) > n} for n in (4, 5, 6))))
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.string())], names=["toxic", "w"])
 
 
 def _spread(words: list[str], most: int) -> list[str]:
     """The first words whose kernel with every word before them is under 0.6."""
-    kept: list[str] = []
-    index = Landmarks([])
-    for word in words:
-        if len(kept) < most and all(v < 0.6 for _, v in index._kernel(word)):
-            kept.append(word)
-            index = Landmarks(kept)
-    return kept
+    rows, kept = Landmarks(words).gram(), []
+    for k in range(len(words)):
+        if len(kept) < most and rows[k, k] > 0 and all(rows[k, j] < 0.6 for j in kept):
+            kept.append(k)
+    return [words[k] for k in kept]
 
 
-def _vectors(words: list[str]):
+def _instances(words: list[str], most: int):
+    """Of every text the `most` strings likest to landmarks, as kernel values: (doc_id, toxic, length, v); v null where none is alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lexigrid.llm.common import rows_of
+        import numpy as np
 
         landmarks = Landmarks(words)
-        kind = pa.list_(pa.float32())
-        for batch in batches:
-            ids, toxic, vectors = [], [], []
-            for doc_id, text, label in rows_of([batch], "doc_id", "text", "toxic"):
-                seen = set()
-                for s in landmarks.sentences(text):
-                    if (key := tuple(sorted(s.items()))) not in seen:
-                        seen.add(key)
-                        ids.append(doc_id), toxic.append(label), vectors.append([s.get(k, 0.0) for k in range(len(words))])
-                if not seen:
-                    ids.append(doc_id), toxic.append(label), vectors.append(None)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(vectors, kind)], names=["doc_id", "toxic", "v"])
+        bound = landmarks.bound()
+        for part in _slices(batches):
+            found = readings(part.column("text"))
+            strings = found.strings
+            some, _ = found.occurring(strings.products(bound))
+            some = some[_ranks(found.text[some]) < most]
+            pairs = np.stack([found.text[some], found.string[some]], 1)
+            chosen, at = np.unique(pairs[:, 1], return_inverse=True)
+            size = strings.sizes[chosen]
+            place = np.arange(size.sum()) + np.repeat(strings.starts[chosen] + 1 - (np.cumsum(size) - size), size)
+            values = landmarks.values(Strings(strings.x[place], size))[at] if len(chosen) else []
+            bare = np.setdiff1d(np.arange(part.num_rows), pairs[:, 0])
+            rows = np.concatenate([pairs[:, 0], bare])
+            v = pa.array([*values, *[None] * len(bare)], pa.list_(pa.float32()))
+            columns = [part.column("doc_id").take(pa.array(rows)), part.column("toxic").take(pa.array(rows)), pa.array(np.log1p(found.words[rows])), v]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "length", "v"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, landmarks: int = 64, parts: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, landmarks: int = 64, places: int = 8, parts: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The model from a hash sample of about `fit_rows` labelled rows outside the held-out fold.
 
-    Landmarks are words that more toxic than clean texts hold. Each sentence of a labelled text takes
-    its label; the sentences without a word like a landmark are one weighted row a class. None if
-    either class is missing.
+    Landmarks are words that more toxic than clean texts hold, and how these begin. The `places` strings of
+    a labelled text that are likest to landmarks go to the driver, fit_rows * places vectors at most and
+    add up to the text's vector; once fitted, those COUNTED that score most, as in scoring.
+    None if either class is missing.
     """
     import numpy as np
 
@@ -319,39 +410,44 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, landmarks:
         F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")
     )
     gain = F.col("n1") * F.log((F.col("n1") + 0.5) / n1 / ((F.col("n0") + 0.5) / n0))
-    chosen = counts.where((F.col("n1") >= 3) & (F.col("n1") * n0 > 8 * F.col("n0") * n1)).orderBy(gain.desc(), F.length("w").desc(), "w")
+    # exp(-gain) bounds how likely chance gives such counts to a word; there may be a million words.
+    chosen = counts.where((gain > 14) & (F.col("n1") * n0 > 8 * F.col("n0") * n1)).orderBy(gain.desc(), F.col("w").endswith("*"), F.length("w").desc(), "w")
     words = _spread([r.w for r in chosen.limit(10 * landmarks).collect()], landmarks)
     if not words:
         return None
-    rows = sample.mapInArrow(_vectors(words), "doc_id long, toxic int, v array<float>").toPandas()
-    full = rows[rows.v.notna()]
-    lines = np.vstack([*full.v, np.zeros((2, len(words)))])
-    y = np.r_[np.where(full.toxic > 0, 1.0, -1.0), 1.0, -1.0]
-    weight = np.r_[np.ones(len(full)), max(1, n1), 4 * max(1, n0)]
-    weight = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum())
-    # Nyström: the kernel map of a sentence is its landmark values times gram^(-1/2).
+    rows = sample.mapInArrow(_instances(words, places), "doc_id long, toxic int, length double, v array<float>").toPandas()
+    full = rows[rows.v.notna()].reset_index(drop=True)
+    x = np.vstack([*full.v, np.zeros((0, len(words)))]).astype(float)
+    each = rows.groupby("doc_id").toxic.max()
+    place = each.index.get_indexer(full.doc_id)
+    length = rows.groupby("doc_id").length.max().to_numpy()
+    y = np.where(each.to_numpy() > 0, 1.0, -1.0)
+    weight = np.where(y > 0, 1 / n1, 1 / n0)
+    # Nyström: the kernel map of a string is its landmark values times gram^(-1/2).
     s, u = np.linalg.eigh(Landmarks(words).gram())
     root = (u / np.sqrt(np.maximum(s, 0.05))) @ u.T
-    w, bias = _svm(lines @ root, y, weight)
-    w = root @ w
-    full = full.assign(f=np.maximum(lines[:-2] @ w, 0) + bias)
-    best = full.groupby("doc_id").f.max()
-    each = rows.groupby("doc_id").toxic.max()
-    f = best.reindex(each.index).fillna(bias).to_numpy()
-    slope, shift = _platt(f, each.to_numpy(dtype=float))
-    return Model(words, w.tolist(), float(bias), slope, shift)
+    some = np.arange(len(x))
+    for _ in range(2):
+        text = np.zeros((len(each), len(words)))
+        np.add.at(text, place[some], x[some])
+        w, bias = _svm(np.hstack([text @ root, length[:, None] / 10]), y, weight)
+        w, per_length = root @ w[:-1], w[-1] / 10
+        f = np.maximum(x @ w, 0)
+        # All strings count in the first fit, the strongest in the second, as in scoring.
+        order = np.lexsort((-f, place))
+        some = order[_ranks(place[order]) < COUNTED]
+    top = np.bincount(place[some], weights=f[some], minlength=len(each)) + per_length * length + bias
+    slope, shift = _platt(top, each.to_numpy(dtype=float))
+    return Model(words, w.tolist(), float(per_length), float(bias), slope, shift)
 
 
 def _scorer(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lexigrid.llm.common import rows_of
-
-        landmarks = Landmarks(model.words) if model else None
-        for batch in batches:
-            rows = [(d, model.score(model.margin(landmarks, t)) if model else 0.0) for d, t in rows_of([batch], "doc_id", "text")]
-            if rows:
-                d, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "score"])
+        import numpy as np
+
+        scores = model.scorer() if model else lambda texts: np.zeros(len(texts))
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores(part.column("text")))], names=["doc_id", "score"])
 
     return run
 

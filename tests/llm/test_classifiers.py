@@ -1,7 +1,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexigrid.llm import quality, toxicity
@@ -43,29 +47,52 @@ def test_toxicity_finds_gapped_insults(spark):
     check(spark, toxicity, bad, "toxic")
 
 
+def value(text, words):
+    """Kernel of the strings of a text with each of these words, one by one: the sum of the strongest."""
+    return [float(toxicity.strongest(pa.array([text]), toxicity.Landmarks([w]).table([1.0]))[0][0]) for w in words]
+
+
 def test_insult_before_a_sentence_end_counts():
-    landmarks = toxicity.Landmarks(["blockhead", "dimwit"])
     for end in (".", "!", "?", "!!", "?!", '."', ".)", "\n"):
-        for text in (f"you are a blockhead{end}", f"Blockhead{end}Next line", f"(blockhead{end}) river"):
-            assert [s[0] for s in landmarks.sentences(text) if 0 in s] == pytest.approx([1.0]), (text, end)
-    model = toxicity.Model(landmarks.words, [2.0, 2.0], -1.0, 1.0, 0.0)
-    assert model.margin(landmarks, "He is here. A dimwit!") == pytest.approx(1.0)
+        for text in (f"you are a blockhead{end}", f"Blockhead{end} Next line", f"(blockhead{end}) river"):
+            assert value(text, ["blockhead"]) == pytest.approx([1.0], abs=0.1), (text, end)
 
 
 def test_spelled_out_insults_count():
-    landmarks = toxicity.Landmarks(["idiot", "stupid"])
-    for spelled in ("i-d-i-o-t", "i*d*i*o*t", "i d i o t", "i.d.i.o.t", "i. d. i. o. t!", "i_d_i_o_t", "stu pid", "st.upid", "s-t-u-p-i-d", "st upid,", "i - d - i - o - t"):
-        best = [s for s in landmarks.sentences(f"The river: such {spelled}\nand more")]
-        assert best and max(max(s.values()) for s in best) > 0.9, spelled
-    assert not list(landmarks.sentences("a river i do not know, it is on\nto the sea"))
-
-
-def test_bound_never_hides_a_word():
-    landmarks = toxicity.Landmarks(["blockhead", "dimwit", "lowei"])
-    rng = random.Random(1)
-    words = ["".join(rng.choice("blockheadimwt") for _ in range(rng.randrange(12))) for _ in range(3000)] + ["bloc-khead", "x" * 3000 + "dimwit"]
-    for word, ok in zip(words, landmarks._may_pass(words).tolist(), strict=True):
-        assert ok or not landmarks._kernel(word)
+    for spelled in ("i-d-i-o-t", "i*d*i*o*t", "i d i o t", "i.d.i.o.t", "i. d. i. o. t!", "i_d_i_o_t", "stu pid", "st.upid", "s-t-u-p-i-d", "st upid,", "i - d - i - o - t", "ÍDIOT", "1d1o1t idiot"):
+        assert max(value(f"The river: such {spelled}\nand more", ["idiot", "stupid"])) > 0.9, spelled
+    for spelled in ("b.l.o.c.k.h.e.a.d", "b l o c k h e a d", "bxlxoxcxkxhxexaxd", "xbxlxoxcxkxhxexaxdx", "Block head"[:5] + "head"):
+        assert value(f"such a {spelled} here", ["blockhead"])[0] > 0.9, spelled
+    assert value("such a blockxhead here", ["blockhead"])[0] > 0.5
+    assert max(value("a river i do not know, it is on\nto the sea", ["idiot", "stupid", "blockhead"])) < 0.5
+    assert value("oaf", ["oaf"]) == pytest.approx([1.0]) and value("", ["oaf"]) == value("1 2 .", ["oaf"]) == [0.0]
+
+
+def test_kernel_equals_brute_force():
+    """Subsequences of four codes, at most one other between two of them, weighted by decay^span, over both norms."""
+    def vector(word):
+        codes = [31, *toxicity.letters(word).tolist(), 31]
+        found, square = Counter(), 0.0
+        for places in combinations(range(len(codes)), 4):
+            if all(b - a <= 2 for a, b in zip(places, places[1:])):
+                weight = 0.5 ** (places[3] - places[0] + 1)
+                found[tuple(codes[p] for p in places)] += weight
+                square += weight**2
+        return found, square
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 9))) for _ in range(12)]
+    marks = toxicity.Landmarks(words)
+    codes = [toxicity.letters(w) for w in words]
+    got = marks.values(toxicity.Strings([c for x in codes for c in x], [len(x) for x in codes]))
+    for i, one in enumerate(words):
+        a, square = vector(one)
+        for k, other in enumerate(words):
+            b, _ = vector(other)
+            length = sum(v * v for v in b.values()) ** 0.5
+            assert got[i, k] == pytest.approx(sum(v * b[u] for u, v in a.items()) / length / square**0.5), (one, other)
+    gram = marks.gram()
+    assert gram == pytest.approx(gram.T) and min(np.linalg.eigvalsh(gram)) > -1e-9
 
 
 def test_quality_votes(spark):
