@@ -24,6 +24,8 @@ def main() -> None:
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse").config("spark.checkpoint.dir", f"file://{scratch}/checkpoints").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # Warms up the JVM and the Python workers, so that the first query doesn't carry it.
+    QUERIES["embedding_norms"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     found = {}
     for name in HEADLINE:
         began = time.time()

@@ -16,3 +16,12 @@ def kernel(name: str, window: int | None = None, weights: tuple[list[float], lis
         raise ValueError(f"no kernel is named {name}")
     side = [by_name[name](k) for k in range(1, window + 1)]
     return side, list(side)
+
+
+def read_weights(text: str) -> tuple[list[float], list[float]]:
+    """(right, left) weights of a weights file: two lines of numbers; blank lines and what follows # are left out."""
+    rows = [row for line in text.splitlines() if (row := line.split("#")[0].split())]
+    if len(rows) != 2:
+        raise ValueError(f"a weights file has two lines of numbers, not {len(rows)}")
+    right, left = ([float(x) for x in row] for row in rows)
+    return right, left

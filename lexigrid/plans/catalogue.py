@@ -8,22 +8,21 @@ from pyspark.sql import functions as F
 from lexigrid.functions.kernels import kernel
 from lexigrid.operators import cooccurrence as co
 from lexigrid.operators import embeddings as em
-from lexigrid.sources.corpus import tokens
+from lexigrid.sources.corpus import all_words, dealt, lines
 
 VOCABULARY, WINDOW = 500, 5
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _vocab(spark: SparkSession, sf_dir: str, size: int | None = VOCABULARY) -> DataFrame:
-    return co.vocabulary(co.unigram(tokens(_docs(spark, sf_dir))), size=size)
+    return co.vocabulary(co.unigram(all_words(_docs(spark, sf_dir))), size=size)
 
 
 def _cells(spark: SparkSession, sf_dir: str, name: str = "dynamic", window: int | None = WINDOW, weights=None, size: int | None = VOCABULARY) -> DataFrame:
-    ids = co.encoded(tokens(_docs(spark, sf_dir)), _vocab(spark, sf_dir, size))
-    return co.cooccurrences(ids, *kernel(name, window, weights))
+    return co.line_cooccurrences(lines(_docs(spark, sf_dir)), _vocab(spark, sf_dir, size), *kernel(name, window, weights))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ full_cells AS (SELECT i, j, nij, ni, nj, n FROM cells JOIN rows USING (i) JOIN c
 """
 
 
-CUSTOM = ([0.0, 0.0, 1.25], [1.0, 0.5, 0.25])
+CUSTOM = ([0.75, 0.0, 2.5, 0.5], [0.0, 1.5])
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -77,7 +76,7 @@ def _query(sql: str):
 
 @_query(f"WITH {_TOKENS} SELECT token, n FROM unigram")
 def unigram_counts(spark, sf_dir):
-    return co.unigram(tokens(_docs(spark, sf_dir)))
+    return co.unigram(all_words(_docs(spark, sf_dir)))
 
 
 @_query(f"WITH {_VOCAB} SELECT id, token, n, round(n / (SELECT sum(n) FROM vocab), 9) AS freq FROM vocab")
@@ -89,7 +88,7 @@ def vocabulary_frequencies(spark, sf_dir, size=VOCABULARY):
 
 @_query(f"WITH {_TOKENS} SELECT token, n FROM unigram WHERE n >= 5")
 def unigram_pruned(spark, sf_dir):
-    return co.unigram(tokens(_docs(spark, sf_dir))).where(F.col("n") >= 5)
+    return co.unigram(all_words(_docs(spark, sf_dir))).where(F.col("n") >= 5)
 
 
 @_query(
@@ -100,7 +99,7 @@ def unigram_pruned(spark, sf_dir):
 )
 def unigram_merged(spark, sf_dir):
     talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return co.merge_unigrams(co.unigram(tokens(_docs(spark, sf_dir))), co.unigram(tokens(talk, "conv_id")))
+    return co.merge_unigrams(co.unigram(all_words(_docs(spark, sf_dir))), co.unigram(all_words(talk)))
 
 
 @_query(f"WITH {_VOCAB} SELECT id, token, round(pow(n, 0.75), 6) AS n FROM vocab")

@@ -9,7 +9,7 @@ from lexigrid.operators import cooccurrence as co
 from lexigrid.operators import embeddings as em
 from lexigrid.operators import models as mo
 from lexigrid.plans.catalogue import _TOKENS, _VOCAB, VOCABULARY, _cells, _cells_sql, _rounded, _vectors, _vocab
-from lexigrid.sources.corpus import tokens
+from lexigrid.sources.corpus import all_words
 
 #: Ids of the model's vocabulary: the most frequent tokens, each with the vector of the same id.
 SIZE = 300
@@ -182,7 +182,7 @@ def tempered_cells(spark, sf_dir, size=VOCABULARY):
     "SELECT coalesce(id, -1)::INT AS id, count(*) AS n FROM said LEFT JOIN vocab USING (token) GROUP BY 1"
 )
 def dictionary_lookup_default(spark, sf_dir, size=VOCABULARY):
-    said = tokens(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id")
+    said = all_words(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return co.lookup(said, _vocab(spark, sf_dir, size=size), -1).groupBy("id").agg(F.count("*").alias("n"))
 
 
@@ -191,8 +191,8 @@ def dictionary_lookup_default(spark, sf_dir, size=VOCABULARY):
     "SELECT DISTINCT token FROM said WHERE token NOT IN (SELECT token FROM unigram)"
 )
 def dictionary_missing_tokens(spark, sf_dir):
-    said = co.unigram(tokens(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id"))
-    known = co.unigram(tokens(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    said = co.unigram(all_words(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    known = co.unigram(all_words(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return said.join(known, "token", "left_anti").select("token")
 
 

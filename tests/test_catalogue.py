@@ -7,7 +7,7 @@ from lexigrid.functions.kernels import kernel
 from lexigrid.operators import cooccurrence as co
 from lexigrid.operators import embeddings as em
 from lexigrid.plans import catalogue
-from lexigrid.sources.corpus import tokens
+from lexigrid.sources.corpus import lines, tokens
 
 TEXT = "a b a\nb  c \n\n\ta"
 
@@ -35,7 +35,7 @@ def test_tokens_and_vocabulary(spark):
     assert [(r.id, r.token, r.n) for r in vocab.orderBy("id").collect()] == [(0, "a", 3), (1, "b", 2)]
 
 
-@pytest.mark.parametrize("name,window,weights", [("flat", 2, None), ("harmonic", 3, None), ("dynamic", 2, None), ("custom", None, ([0, 0, 1.25], [1, 0.5, 0.25]))])
+@pytest.mark.parametrize("name,window,weights", [("flat", 2, None), ("harmonic", 3, None), ("dynamic", 2, None), ("custom", None, ([0.75, 0, 2.5, 0.5], [0, 1.5]))])
 def test_windows_equal_brute_force(spark, name, window, weights):
     texts = [TEXT, "c a b b a c a", "z z a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -54,14 +54,29 @@ def test_kernels_reject_what_does_not_go_together():
             kernel(*args)
 
 
-def test_fixture_matrix(spark):
-    """The four-token matrix with marginals 5, 4, 2, 1 and total 12."""
-    rows = [[0, 3, 1, 1], [3, 0, 1, 0], [1, 1, 0, 0], [1, 0, 0, 0]]
+def test_matrix(spark):
+    """A table that is not symmetric, with row sums 7, 6, 5 and column sums 6, 8, 4."""
+    rows = [[0, 5, 2], [4, 0, 2], [2, 3, 0]]
     cells = spark.createDataFrame([(i, j, float(x)) for i, r in enumerate(rows) for j, x in enumerate(r) if x], "i int, j int, nij double")
     sums = {(r.side, r.id): r.n for r in co.marginals(cells).collect()}
-    assert [sums["row", k] for k in range(4)] == [5, 4, 2, 1] and sums["total", None] == 12
-    assert {(r.i, r.j): r.nij for r in co.truncated(cells, 2).collect()} == {(0, 1): 3, (1, 0): 3}
-    assert {r.nij for r in co.merge(cells, cells).collect()} == {2.0, 6.0}
+    assert [sums["row", k] for k in range(3)] == [7, 6, 5] and [sums["column", k] for k in range(3)] == [6, 8, 4] and sums["total", None] == 18
+    assert {(r.i, r.j): r.nij for r in co.truncated(cells, 2).collect()} == {(0, 1): 5, (1, 0): 4}
+    assert {r.nij for r in co.merge(cells, cells).collect()} == {4.0, 6.0, 8.0, 10.0}
+    kept = {(r.i, r.j): (r.nij, r.ni, r.nj, r.n) for r in co.attach(co.above(cells, 2), co.marginals(cells)).collect()}
+    assert kept == {(0, 1): (5, 7, 8, 18), (1, 0): (4, 6, 6, 18), (2, 1): (3, 5, 8, 18)}
+
+
+def test_both_plans_agree_and_repeated_ids_stay_apart(spark):
+    """Lines of one doc_id, or of none, don't run into one another, whichever plan counts them."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (None, "a d\nb b"), (None, "c a"), (1, "a b")], "doc_id long, text string")
+    vocab = co.vocabulary(co.unigram(tokens(docs)))
+    token = {r.id: r.token for r in vocab.collect()}
+    want = brute([t.split() for t in ("a b", "c d", "a d", "b b", "c a", "a b")], [1.0, 2.0], [0.5])
+    for cells in (
+        co.cooccurrences(co.encoded(tokens(docs), vocab), [1.0, 2.0], [0.5]), co.line_cooccurrences(lines(docs), vocab, [1.0, 2.0], [0.5]),
+        co.line_cooccurrences(lines(docs), vocab, [1.0, 2.0], [0.5], most=2),
+    ):
+        assert {(token[r.i], token[r.j]): r.nij for r in cells.collect()} == pytest.approx(want)
 
 
 @pytest.mark.parametrize("name", [f"embedding_{kind}_{score}" for kind in ("nearest", "neighbours") for score in ("product", "cosine")])
