@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators.cooccurrence import numbered
+
 #: Queries scored at once against a batch of rows.
 SLICE = 256
 
@@ -21,8 +23,88 @@ def norm(v: str) -> Column:
     return F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
 
 
-def normalized(vectors: DataFrame) -> DataFrame:
-    return vectors.withColumn("m", norm("v")).withColumn("v", F.transform("v", lambda x: x / F.col("m"))).drop("m")
+def p_norm(v: str, p: float) -> Column:
+    return F.pow(F.aggregate(F.transform(v, lambda x: F.pow(F.abs(x), F.lit(p))), F.lit(0.0), lambda s, x: s + x), F.lit(1 / p))
+
+
+def column_norms(vectors: DataFrame, p: float) -> DataFrame:
+    """(dim, norm): of each dimension over all rows."""
+    each = vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim")
+    return each.agg(F.pow(F.sum(F.pow(F.abs("x"), F.lit(p))), F.lit(1 / p)).alias("norm"))
+
+
+def unit(v: str) -> Column:
+    """A vector over its norm; a zero vector stays as it is."""
+    m = norm(v)
+    return F.when(m == 0, F.col(v)).otherwise(F.transform(v, lambda x: F.try_divide(x, m)))
+
+
+def normalized(vectors: DataFrame, *columns: str) -> DataFrame:
+    """Unit vectors in `columns`, `v` if none is named."""
+    return vectors.withColumns({c: unit(c) for c in columns or ("v",)})
+
+
+def check_normalized(vectors: DataFrame) -> DataFrame:
+    """(normed): whether every vector has norm 1 to a hundred-thousandth."""
+    return vectors.agg(F.coalesce(F.bool_and(F.abs(norm("v") - 1) <= 1e-8 + 1e-5), F.lit(True)).alias("normed"))
+
+
+def random_vectors(spark, size: int, dims: int, *, seed: int = 1917, distribution: str = "uniform", scale: float = 0.2, covectors: bool = True, biases: bool = False) -> DataFrame:
+    """(id, v[, w][, vb, wb]) of seeded numbers that depend on seed, id and dimension alone; biases are zero."""
+    if distribution not in ("uniform", "normal"):
+        raise ValueError(f"no distribution is named {distribution}")
+
+    def number(stream: int, dim: Column) -> Column:
+        share = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * stream + k), F.col("id"), dim), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        if distribution == "uniform":
+            return (2 * share(0) - 1) * scale
+        return F.sqrt(-2 * F.log(share(0))) * F.cos(2 * math.pi * share(1)) * scale
+
+    rows = spark.range(size).select(F.col("id").cast("int").alias("id"))
+    vector = lambda stream: F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda d: number(stream, d))
+    columns = {name: vector(k) for k, name in enumerate(("v", "w")[: 1 + covectors])}
+    return rows.withColumns(columns | ({"vb": F.lit(0.0), "wb": F.lit(0.0)} if biases else {}))
+
+
+def centre(vectors: DataFrame, column: str = "v") -> DataFrame:
+    """(unk): the mean vector, in one row."""
+    each = vectors.select(F.posexplode(column).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"))
+    return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("unk"))
+
+
+def of_tokens(vectors: DataFrame, keys: DataFrame, policy: str = "err", column: str = "v") -> DataFrame:
+    """Keys (token, ...) with the vector of their token in `column`, of vectors (token, v, ...).
+
+    A token without a vector gets the mean vector with the policy `unk`; with `err` the job fails, naming it.
+    """
+    found = keys.join(vectors.select("token", column), "token", "left")
+    if policy == "unk":
+        return found.crossJoin(F.broadcast(centre(vectors, column))).withColumn(column, F.coalesce(column, "unk")).drop("unk")
+    if policy != "err":
+        raise ValueError(f"no policy is named {policy}")
+    return found.withColumn(column, F.coalesce(column, F.raise_error(F.concat(F.lit("no vector of the token "), "token"))))
+
+
+def dimensions(v: str, start: int, count: int) -> Column:
+    """Dimensions from `start`, counted from 0, of a vector."""
+    return F.slice(v, start + 1, count)
+
+
+def coverage(vectors: DataFrame, order: DataFrame) -> DataFrame:
+    """(token, missing): tokens of the order without a vector, and tokens with a vector outside the order."""
+    lost = order.select("token").join(vectors, "token", "left_anti").select("token", F.lit("vector").alias("missing"))
+    return lost.unionByName(vectors.select("token").join(order, "token", "left_anti").select("token", F.lit("order").alias("missing")))
+
+
+def reordered(vectors: DataFrame, order: DataFrame, *, allow_missing_vectors: bool = False, allow_missing_tokens: bool = False) -> DataFrame:
+    """Vectors (token, v, ...) with ids in the order (place, token); tokens that either side lacks go, if allowed, else ValueError."""
+    missing = {r.missing for r in coverage(vectors, order).select("missing").distinct().collect()}
+    if "vector" in missing and not allow_missing_vectors:
+        raise ValueError("tokens of the order have no vector")
+    if "order" in missing and not allow_missing_tokens:
+        raise ValueError("vectors belong to tokens outside the order")
+    both = vectors.drop("id").join(order.select("token", "place"), "token")
+    return numbered(both.withColumn("run", F.floor(F.col("place") / 10_000)), ["run", "place"], ["run"]).drop("run", "place")
 
 
 def centroid(vectors: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions.kernels import kernel
 from lexigrid.operators import cooccurrence as co
 from lexigrid.operators import embeddings as em
+from lexigrid.operators import models as mo
 from lexigrid.sources.corpus import all_words, dealt, lines
 
 VOCABULARY, WINDOW = 500, 5
@@ -165,7 +166,7 @@ def cooccurrence_undersampled(spark, sf_dir, size=VOCABULARY):
 @_query(_cells_sql("flat") + "SELECT i, round(sum(least(1, pow(nij / 100, 0.75)) * pow(ln(nij), 2)), 4) AS loss FROM cells GROUP BY i")
 def glove_loss_at_zero(spark, sf_dir, size=VOCABULARY):
     cells = _cells(spark, sf_dir, "flat", size=size)
-    return cells.groupBy("i").agg(F.round(F.sum(co.glove_weight() * F.pow(F.log("nij"), 2)), 4).alias("loss"))
+    return cells.groupBy("i").agg(F.round(F.sum(mo.glove_weights() / 2 * F.pow(F.log("nij"), 2)), 4).alias("loss"))
 
 
 @_query(
