@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import public_tokenizers
 
 from lexigrid.llm.html import Page, main_text
 from lexigrid.llm.substrings import remove_repeats
 from lexigrid.llm.tokencounts import Counter, CountTree, edited_counts, revision_edits
-from lexigrid.llm.topk import top_k
+from lexigrid.llm.topk import MTree, top_k
 
 
 def repeats(docs, length):
@@ -55,12 +56,27 @@ def test_top_k_equals_brute_force(spark):
             scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(b) == len(a))[:20]
             want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for block in (20_000, 10):
-        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(data, block=block).collect())
+    for block, least in ((20_000, 8192), (10, 5), (300, 100)):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(data, block=block, least=least).collect())
         assert got == sorted(want)
     assert top_k(data.limit(0)).count() == 0
 
 
+def test_deep_tree_equals_brute_force():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 6, (40, 6))
+    rows = np.floor(centres[rng.integers(0, 40, 9000)] + rng.normal(0, 1, (9000, 6)))
+    ids = rng.permutation(9000)
+    tree = MTree(ids, rows)
+    assert len(tree.levels) == 2
+    scores, found = tree.search(rows[:50], ids[:50], 20)
+    for q in range(50):
+        product = rows @ rows[q]
+        product[q] = -np.inf
+        order = np.lexsort((ids, -product))[:20]
+        assert scores[q].tolist() == product[order].tolist() and found[q].tolist() == ids[order].tolist()
+
+
 def test_counts_follow_edits(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     counter, rng = Counter(path), random.Random(1)
