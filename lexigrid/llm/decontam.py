@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +15,8 @@ from lexigrid.llm.common import id_and_text
 MATCH_SCHEMA = "doc_id long, item_id long, start long, n_words long, similarity double, hamming long"
 #: ASCII marks that don't count as part of a word.
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_BLOCKS = 8
+#: Blocks of a fingerprint, 16 bits each.
+_BLOCKS = 4
 
 
 def words_of(text: str) -> list[bytes]:
@@ -47,17 +49,57 @@ def bits_of(hashes):
 
 
 def packed(sums):
-    """Fingerprints of rows of 64 sums, as eight bytes each: the blocks of the index."""
+    """Fingerprints of rows of 64 sums, as four blocks of 16 bits each."""
     import numpy as np
 
-    return np.packbits(sums > 0, axis=1)
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
+
+
+def masks(most: int):
+    """All numbers of 16 bits of which `most` are set at most."""
+    import numpy as np
+
+    values = np.arange(1 << 16, dtype=np.uint16)
+    return values[np.bitwise_count(values) <= most]
+
+
+class Lists:
+    """For one block: the items of each value, by value, and where in them each of the 2^16 values lies."""
+
+    def __init__(self, values):
+        import numpy as np
+
+        self.items = np.argsort(values, kind="stable")
+        self.distinct, self.first, self.many = np.unique(values[self.items], return_index=True, return_counts=True)
+        self.place = np.full(1 << 16, -1, np.int32)
+        self.place[self.distinct] = np.arange(len(self.distinct))
+
+    def near(self, values, flips, most: int):
+        """(row, item) for all items whose block is within `most` bits, which `flips` spell out, of a row's value."""
+        import numpy as np
+
+        asked, row_of = np.unique(values, return_inverse=True)
+        if len(self.distinct) <= len(flips):
+            a, d = np.nonzero(np.bitwise_count(asked[:, None] ^ self.distinct[None, :]) <= most)
+        else:
+            met = self.place[asked[:, None] ^ flips[None, :]]
+            a, c = np.nonzero(met >= 0)
+            d = met[a, c]
+        # Rows that ask for one value meet the same lists.
+        start = np.searchsorted(a, np.arange(len(asked) + 1))
+        each = np.diff(start)[row_of]
+        rows = np.repeat(np.arange(len(values)), each)
+        lists = d[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[row_of], each)]
+        many = self.many[lists]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[lists], many)
+        return np.repeat(rows, many), self.items[at]
 
 
 class ItemIndex:
-    """Benchmark items by window size: fingerprints, and per 8-bit block the items within radius // 8 bits.
+    """Benchmark items by window size: fingerprints, and for each 16-bit block the lists of items by its value.
 
-    Two fingerprints within the radius are within radius // 8 bits of each other in some block, so the
-    union over the blocks holds every item within the radius.
+    Two fingerprints within the radius are within radius // 4 bits of each other in some block, so the
+    lists of all values so near to a window's, over all blocks, hold every item within the radius.
     """
 
     def __init__(self, items: list[tuple[int, str]], width: int, radius: int):
@@ -74,7 +116,7 @@ class ItemIndex:
             sizes.append(len(hashes))
             prints.append(packed(bits_of(hashes).sum(axis=0, keepdims=True))[0])
         self.sizes = np.array(sizes, np.int64)
-        self.prints = np.array(prints, np.uint8).reshape(-1, _BLOCKS)
+        self.prints = np.array(prints, np.uint16).reshape(-1, _BLOCKS)
         held = [x[0] for x in self.shingles] or [np.zeros(0, np.uint64)]
         self.hashes = np.concatenate(held)
         self.owners = np.repeat(np.arange(len(self.ids)), [len(x) for x in held] if self.ids else [])
@@ -82,12 +124,12 @@ class ItemIndex:
         self.hashes, self.owners = self.hashes[order], self.owners[order]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-        octets = np.arange(256, dtype=np.uint8)
-        near = np.bitwise_count(octets[:, None] ^ octets[None, :]) <= radius // _BLOCKS
+        self.most = radius // _BLOCKS
+        self.flips = masks(self.most)
         self.by_size = {}
         for size in np.unique(self.sizes).tolist():
             mine = np.flatnonzero(self.sizes == size)
-            self.by_size[size] = (mine, [near[:, self.prints[mine, b]] for b in range(_BLOCKS)])
+            self.by_size[size] = (mine, [Lists(self.prints[mine, b]) for b in range(_BLOCKS)])
 
     def hits(self, hashes):
         """(position, owner) wherever a text's shingle is one of an item's."""
@@ -135,15 +177,13 @@ class ItemIndex:
         sums = np.cumsum(bits_of(hashes[a : b + length]), axis=0)
         sums = np.concatenate([np.zeros((1, 64), sums.dtype), sums])
         prints = packed(sums[length:] - sums[:-length])
-        mine, tables = self.by_size[size]
-        candidate = np.zeros((len(prints), len(mine)), bool)
-        for block in range(_BLOCKS):
-            candidate |= tables[block][prints[:, block]]
-        window, item = np.nonzero(candidate)
+        mine, lists = self.by_size[size]
+        window, item = (np.concatenate(x) for x in zip(*(lists[b].near(prints[:, b], self.flips, self.most) for b in range(_BLOCKS)), strict=True))
         distance = np.bitwise_count(prints[window] ^ self.prints[mine[item]]).sum(axis=1)
-        for w, k, d in zip(window.tolist(), mine[item].tolist(), distance.tolist(), strict=True):
-            if d > self.radius:
-                continue
+        within = distance <= self.radius
+        # A pair may be found in several blocks.
+        pair, first = np.unique(window[within] * len(mine) + item[within], return_index=True)
+        for w, k, d in zip((pair // len(mine)).tolist(), mine[pair % len(mine)].tolist(), distance[within][first].tolist(), strict=True):
             found, counts = np.unique(hashes[a + w : a + w + length], return_counts=True)
             theirs, weights = self.shingles[k]
             _, x, y = np.intersect1d(found, theirs, assume_unique=True, return_indices=True)
@@ -153,11 +193,18 @@ class ItemIndex:
                 best[k] = (similarity, a + w, length, d)
 
 
-def _matcher(items, width: int, radius: int, threshold: float):
+#: The index that a Python worker made last, so that its next tasks find it.
+_INDEX: dict[str, ItemIndex] = {}
+
+
+def _matcher(items, key: str, width: int, radius: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lexigrid.llm.common import rows_of
 
-        index = ItemIndex(items.value, width, radius)
+        if key not in _INDEX:
+            _INDEX.clear()
+            _INDEX[key] = ItemIndex(items.value, width, radius)
+        index = _INDEX[key]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
         names = ["doc_id", "item_id", "start", "n_words", "similarity", "hamming"]
         for batch in batches:
@@ -175,7 +222,7 @@ def contaminated(
     *,
     width: int = 5,
     threshold: float = 0.8,
-    radius: int = 23,
+    radius: int = 15,
     pass_chars: int = 8_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -184,13 +231,13 @@ def contaminated(
 
     A window has as many shingles (`width` words) as the item and slides word by word. Windows that
     share a shingle with an item of their size are fingerprinted; the multi-index gives all items
-    within `radius` differing bits; of these, the ones whose multiset Jaccard similarity of shingles,
+    within `radius` differing bits (a pair as similar as asked differs in about ten); of these, the ones whose multiset Jaccard similarity of shingles,
     weighted by their counts, reaches `threshold` are returned, ties to the earliest window.
 
     The items' index is broadcast to the tasks that scan the documents, which are not shuffled. It
     is bounded: items of more than `pass_chars` characters in all are dealt by hash to several passes.
     Null or empty texts match nothing; a text shorter than an item is one window; rows that repeat
-    match as often as they occur. Empty tables give no rows.
+    match as often as they occur; an item_id with several texts is an item for each. Empty tables give no rows.
     """
     items = id_and_text(benchmark, "item_id").withColumnRenamed("doc_id", "item_id").where("item_id is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -200,6 +247,6 @@ def contaminated(
     for k in range(passes):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else items
         held = context.broadcast(sorted((r.item_id, r.text) for r in mine.collect()))
-        found = source.mapInArrow(_matcher(held, width, radius, threshold), MATCH_SCHEMA)
+        found = source.mapInArrow(_matcher(held, uuid.uuid4().hex, width, radius, threshold), MATCH_SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
