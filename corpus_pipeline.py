@@ -16,30 +16,37 @@ from lexigrid.llm.toxicity import fit, score
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
-    """docs but those whose id is in `gone`; a null id is in no list, so it stays."""
-    return docs.join(stored(gone.select("doc_id").distinct(), label), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents with a number of its own for every row, stored, so that each reading gives the same numbers."""
+    return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _only(rows: DataFrame, found: DataFrame, how: str, label: str) -> DataFrame:
+    """Rows whose number is (left_semi) or isn't (left_anti) found; ids may be null or repeat."""
+    return rows.join(stored(found.distinct(), label), "row", how).select(*COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go."""
-    return _without(docs, score(docs, fit(docs, table(spark, sf_dir, "labels"))).where("predicted = 1"), "toxic")
+    rows = _keyed(docs)
+    scored = score(rows, fit(rows, table(spark, sf_dir, "labels")), id_col="row")
+    return _only(rows, scored.where("predicted = 1").select(F.col("doc_id").alias("row")), "left_anti", "toxic")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates stays; of rows with one id, one."""
-    found = stored(near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    left = _without(docs, found.where("doc_id <> component_id"), "copies")
-    # Ids are keys: only where some repeat is there anything to choose, and a shuffle to do so.
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    """Of each group of near duplicates the document of least id stays; one without an id only where none has any. Of equals, one."""
+    rows = _keyed(docs)
+    found = near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
+    kept = found.join(rows.select("row", "doc_id"), "row").groupBy("group").agg(best.alias("best")).select("best.row")
+    return _only(rows, kept, "left_semi", "kept")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")), "leaks")
+    rows = _keyed(docs)
+    leaks = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("doc_id").alias("row"))
+    return _only(rows, leaks, "left_anti", "leaks")
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
