@@ -25,11 +25,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share; a temporary one only where none is set in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         checkpoint = spark.sparkContext.getCheckpointDir()
         if checkpoint is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             checkpoint = tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(checkpoint)
         found = checkpoint

@@ -25,8 +25,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Account boundaries: a login in an address, an account number after its cue, a value assigned to a secret's name.
 _LOGIN = re.compile(r"[^\s/@<>\"']++@[A-Za-z0-9.-]+(?::[0-9]+)?")
-_IBAN = re.compile(r"[\s:=#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-_VALUE = re.compile(r"[A-Za-z0-9_]{0,32}[\x20]{0,2}[=:][\x20]{0,2}[\"']?([^\s\"',;&<>]{6,}+)")
+_IBAN = re.compile(r"[\s:=#]*+([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+_VALUE = re.compile(r"[A-Za-z0-9_-]*+[\"']?\x20*+[=:]\x20*+[\"']?([^\s\"',;&<>]{6,}+)")
+_NAME = re.compile(r"[A-Za-z0-9_-]*+")
 _SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "access_key")
 
 
@@ -92,7 +93,7 @@ class Finder:
                         found["phone"].append(m.span())
             elif kind == "scheme":
                 start = at
-                while start > over["url"] and at - start < 12 and text[start - 1] in _LETTERS:
+                while start > over["url"] and text[start - 1] in _LETTERS:
                     start -= 1
                 if start < at and (m := _LOGIN.match(text, last + 1)):
                     over["url"] = m.end()
@@ -107,9 +108,13 @@ class Finder:
                         if 15 <= len(bare) <= 34 and iban_valid(bare):
                             found["iban"].append((m.start(1), m.start(1) + end))
                             break
-            elif at >= over["secret"] and (m := _VALUE.match(text, last + 1)):
-                over["secret"] = m.end(1)
-                found["secret"].append(m.span(1))
+            elif at >= over["secret"]:
+                if m := _VALUE.match(text, last + 1):
+                    over["secret"] = m.end(1)
+                    found["secret"].append(m.span(1))
+                else:
+                    # Other cues in the same name lead to the same place.
+                    over["secret"] = _NAME.match(text, last + 1).end()
         return [(k, a, b) for k in KINDS for a, b in found[k]]
 
 

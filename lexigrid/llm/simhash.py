@@ -17,6 +17,7 @@ from lexigrid.llm.components import components
 PARTS = ((0, 23), (23, 23), (46, 18))
 GOLAY_GENERATOR = 0b101011100011
 MAX_BITS = 4
+SALTS = 16
 
 
 @cache
@@ -172,14 +173,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     group, current, out = [], None, []
     for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sub", "fp", "home")]
-        key, sub, values, home = columns[0], columns[1], columns[2].astype(np.int64), columns[3].astype(bool)
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1
+        key, sub, cell, values, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sub", "cell", "fp", "home"))
+        values, home = values.astype(np.int64), home.astype(bool)
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1]) | (cell[1:] != cell[:-1])) + 1
         bounds = [0, *cuts.tolist(), len(key)]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if a == b:
                 continue
-            if current != (here := (key[a], sub[a])):
+            if current != (here := (key[a], sub[a], cell[a])):
                 if group:
                     out += linked(group)
                 group, current = [], here
@@ -199,17 +200,34 @@ def links(fingerprints: DataFrame, crowded: int = 20_000) -> DataFrame:
     A pair meets at the anchor nearest to either of the two. What every pair of a dense group would
     be is never emitted: an anchor gives fewer edges than it has fingerprints. An anchor with more
     than `crowded` rows (there are 2^18 + 2^13 anchors at most, so the list of crowded ones is small) is subdivided
-    by the anchors of the other parts.
+    by the anchors of the other parts, and what is crowded still is compared in blocks.
     """
     replicas = stored(fingerprints.mapInArrow(_replicate, "key long, sub long, fp long, home boolean"), "replicas")
     hot = stored(replicas.groupBy("key").count().where(F.col("count") > crowded).select("key"), "crowded")
+    rest = replicas.withColumn("cell", F.lit(0))
     if not hot.isEmpty():
         spread = replicas.join(hot, "key", "left_semi").mapInArrow(_subdivide, replicas.schema)
-        replicas = replicas.join(hot, "key", "left_anti").unionByName(spread)
-    dealt = replicas.repartition(F.col("key"), F.col("sub")).sortWithinPartitions("key", "sub")
+        rest = rest.join(hot, "key", "left_anti").unionByName(_gridded(stored(spread, "spread"), crowded))
+    dealt = rest.repartition(F.col("key"), F.col("sub"), F.col("cell")).sortWithinPartitions("key", "sub", "cell")
     return dealt.mapInArrow(_compare, "a long, b long")
 
 
+def _gridded(replicas: DataFrame, crowded: int) -> DataFrame:
+    """Replicas whose anchors are crowded still, cut into blocks of which each two meet in a cell of their own.
+
+    A fingerprint goes to as many cells as its anchor has blocks, and a cell holds two blocks at most; the
+    home values of either are compared with all.
+    """
+    blocks = replicas.groupBy("key", "sub").count().where(F.col("count") > crowded)
+    blocks = stored(blocks.select("key", "sub", F.ceil(2 * F.col("count") / crowded).cast("int").alias("blocks")), "blocks")
+    if blocks.isEmpty():
+        return replicas.withColumn("cell", F.lit(0))
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    cut = replicas.join(blocks, ["key", "sub"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).cast("int")
+    return replicas.join(blocks, ["key", "sub"], "left_anti").withColumn("cell", F.lit(0)).unionByName(cut.withColumn("cell", cell).drop("blocks", "mine", "other"))
+
+
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -264,7 +282,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, crowded: int = 20_000, i
     roots = components(links(nodes.select("fp"), crowded))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = grouped.join(least, "root").select("fp", "component_id")
+    # A component may hold a great share of all fingerprints: its rows are dealt to SALTS tasks.
+    salted = grouped.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    labelled = salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["root", "salt"]).select("fp", "component_id")
     return found.join(labelled, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from lexigrid.llm.common import id_and_text, stored
 
 
+#: Passages that are broadcast at most.
+HOT_KEYS = 100_000
+
+
 def word_hashes(words: list[bytes]):
+    """Two independent 64-bit hashes of each word."""
     import numpy as np
     import xxhash
 
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2).T
 
 
 def doubled(hashes, gap: int):
@@ -73,7 +78,7 @@ def _halves(length: int):
 
         for batch in batches:
             for uid, text in rows_of([batch], "uid", "text"):
-                half = windows(word_hashes(text.encode("utf-8", "surrogatepass").split()), length // 2)
+                half = windows(word_hashes(text.encode("utf-8", "surrogatepass").split())[0], length // 2)
                 if len(half) <= length // 2:
                     continue
                 keys, n = np.unique(half[np.unique(anchors(half, length // 2))], return_counts=True)
@@ -93,7 +98,7 @@ def _extended(length: int):
         kinds = [pa.int64()] * 4 + [pa.int32()]
         for batch in batches:
             for uid, doc, text, alive in rows_of([batch], "uid", "doc", "text", "alive"):
-                words = word_hashes(text.encode("utf-8", "surrogatepass").split())
+                words, others = word_hashes(text.encode("utf-8", "surrogatepass").split())
                 half = windows(words, length // 2)
                 if len(half) <= length // 2:
                     continue
@@ -103,8 +108,8 @@ def _extended(length: int):
                 if not len(start):
                     continue
                 full = windows(words, length)[start]
-                # A second hash of the same words, so that keys are 128 bits.
-                check = windows(words ^ np.uint64(0x5851F42D4C957F2D), length)[start]
+                # From the words' second hashes, so that keys are 128 bits.
+                check = windows(others, length)[start]
                 for a in range(0, len(start), 50_000):
                     s = slice(a, a + 50_000)
                     n = len(start[s])
@@ -138,14 +143,29 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _met(full: DataFrame, first: DataFrame, hot: int) -> DataFrame:
+    """Windows with the first place of their words: those found more than `hot` times by a broadcast, the others by a shuffle.
+
+    Up to HOT_KEYS such passages, some 10 MB, are broadcast; where there are more, all go by the shuffle,
+    whose skewed parts AQE splits.
+    """
+    often = first.where(F.col("n") > hot).select("key", "check", F.col("first").alias("often"))
+    if often.limit(HOT_KEYS + 1).count() > HOT_KEYS:
+        return full.join(first.drop("n"), ["key", "check"])
+    marked = full.join(F.broadcast(often), ["key", "check"], "left")
+    rare = marked.where("often is null").drop("often").join(first.where(F.col("n") <= hot).drop("n"), ["key", "check"])
+    return rare.unionByName(marked.where("often is not null").withColumnRenamed("often", "first"))
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 20, hot: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words of every row.
 
     A word goes if a window of `length` (even) words over it has the same words as a window that starts
     earlier: in a smaller doc_id, or before it in the same document. Windows of half the length are
     counted first, at one anchor for each full window, picked by its words alone; full windows are
     made only where that anchor repeats, and judged by their least place. Keys are counted by
-    partial aggregation, so one very common passage is no hot group; the joins are split by AQE.
+    partial aggregation, so one very common passage is no hot group, and passages found
+    more than `hot` times reach their windows by a broadcast.
 
     Null texts count as empty; texts under `length` words keep all. A null doc_id counts as smallest.
     Rows of one doc_id with different texts come in the order of their text hashes; rows that repeat
@@ -165,10 +185,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id",
     live = source.join(alive, "uid").select("uid", "doc", "text", "alive")
     full = stored(live.mapInArrow(_extended(length), "key long, check long, doc long, uid long, start int"), "windows")
     place = F.struct("doc", "uid", "start")
-    first = full.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "check", "first")
-    later = full.join(first, ["key", "check"]).where(place != F.col("first"))
-    starts = stored(later.groupBy("uid").agg(F.collect_set("start").alias("starts")), "starts")
-    joined = source.join(starts, "uid", "left").select("doc_id", "text", "starts", "copy")
+    first = full.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").select("key", "check", "first", "n")
+    later = _met(full, stored(first, "firsts"), hot).where(place != F.col("first"))
+    # A row's hash may be another document's: with the document's id, only one of its own rows could share it.
+    starts = stored(later.groupBy("doc", "uid").agg(F.collect_set("start").alias("starts")), "starts")
+    joined = source.join(starts, ["doc", "uid"], "left").select("doc_id", "text", "starts", "copy")
     joined = joined.unionByName(rows.where("copy").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), "copy"))
     return joined.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
