@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,41 +22,54 @@ _SHAPE = bytes(
 _RUN = re.compile(rb"([Aa9])\1+")
 
 
-def terms(text: str) -> Counter:
-    """Shapes of words and lines, how words repeat, and the commonest words of a whole text."""
+class _Places(dict):
+    """Bucket and sign of a term, as a number whose last bit is the sign; starts afresh when it has grown large."""
+
+    def __missing__(self, term: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = zlib.crc32(term)
+        self[term] = value = 2 * (h % BUCKETS) + (h >> 31)
+        return value
+
+
+_PLACES = {kind: _Places() for kind in "swf"}
+
+
+def terms(text: str) -> Iterator[tuple[str, Counter, float]]:
+    """(kind, counts, weight): shapes of words, all words, and how words and lines repeat in a whole text."""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
-    out: Counter = Counter()
-    shapes = Counter(_RUN.sub(rb"\1", data.translate(_SHAPE)).split())
     n = max(1, len(words))
-    for shape, k in shapes.items():
-        out[b"s" + shape[:24]] += 100 * k / n
+    yield "s", Counter(_RUN.sub(rb"\1", data.translate(_SHAPE)).split()), 100 / n
     counts = Counter(words)
-    for w, k in counts.most_common(20):
-        out[b"w" + w[:24]] += 20 * k / n
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    yield "w", counts, 20 / n
+    again = sum(map(eq, words, islice(words, 1, None)))
     lines = [line for line in data.split(b"\n") if line.strip()]
+    out: Counter = Counter()
     for name, value in (
         (b"distinct", len(counts) / n), (b"again", again / n), (b"top", max(counts.values(), default=0) / n),
         (b"lines", len(set(lines)) / max(1, len(lines))), (b"long", min(1.0, len(data) / n / 40)),
     ):
         level = value * 10
         low = int(level)
-        out[b"f" + name + b"%d" % low] += 12 * (1 - level + low)
-        out[b"f" + name + b"%d" % (low + 1)] += 12 * (level - low)
+        out[b"%s%d" % (name, low)] += 12 * (1 - level + low)
+        out[b"%s%d" % (name, low + 1)] += 12 * (level - low)
     out[b"n%d" % len(words).bit_length()] += 4
-    return out
+    yield "f", out, 1.0
 
 
 def vector(text: str):
     """Hashed, damped term weights."""
     import numpy as np
 
-    out = np.zeros(BUCKETS, np.float32)
-    for term, value in terms(text).items():
-        h = zlib.crc32(term)
-        out[h % BUCKETS] += value if h >> 31 else -value
-    return np.sign(out) * np.log1p(np.abs(out))
+    out = np.zeros(BUCKETS)
+    for kind, counts, weight in terms(text):
+        place = np.fromiter(map(_PLACES[kind].__getitem__, counts), np.int64, len(counts))
+        value = np.fromiter(counts.values(), np.float64, len(counts)) * weight
+        # Kinds lie apart by a rotation of the buckets.
+        out += np.roll(np.bincount(place >> 1, np.where(place & 1, value, -value), BUCKETS), {"s": 0, "w": 1361, "f": 2729}[kind])
+    return (np.sign(out) * np.log1p(np.abs(out))).astype(np.float32)
 
 
 def _unit(x):
@@ -83,7 +97,11 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 3000, dims: int = 48, k: int = 15, parts: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Latent-semantic vectors of a hash sample of about `fit_rows` labelled rows outside the held-out fold; None without any."""
+    """Latent-semantic vectors of a hash sample of about `fit_rows` labelled rows outside the held-out fold; None without any.
+
+    A vector holds all words of a text, by how few of all documents have them. The space is that of the leading
+    singular vectors of the sample.
+    """
     import numpy as np
 
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -108,12 +126,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 3000, dims: int =
     if not found:
         return None
     x = np.stack([np.frombuffer(r.v, "<f4") for r in found])
-    idf = np.log((1 + len(x)) / (1 + (x != 0).sum(0))).astype(np.float32) + 1
-    _, _, axes = np.linalg.svd(x * idf, full_matrices=False) if len(x) < 500 else (0, 0, _top_axes(x * idf, dims))
-    basis = np.ascontiguousarray(axes[:dims].T.astype(np.float32))
+    seen = np.zeros(BUCKETS)
+    counted = id_and_text(docs, id_col, text_col).mapInArrow(_seen, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    for r in counted:  # a row a bucket, and one of bucket BUCKETS with the number of documents
+        if r.bucket < BUCKETS:
+            seen[r.bucket] = r.n
+    many = next((r.n for r in counted if r.bucket == BUCKETS), 0)
+    idf = np.log((1 + many) / (1 + seen)).astype(np.float32) + 1
+    basis = np.ascontiguousarray(_top_axes(x * idf, dims)[:dims].T.astype(np.float32))
     return Model(idf, basis, _unit((x * idf) @ basis), np.array([r.quality for r in found], np.float32), k)
 
 
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a task's texts each bucket is filled, and of bucket BUCKETS how many texts there are."""
+    import numpy as np
+
+    from lexigrid.llm.common import rows_of
+
+    n = np.zeros(BUCKETS + 1, np.int64)
+    for batch in batches:
+        for (text,) in rows_of([batch], "text"):
+            n[:BUCKETS] += vector(text) != 0
+            n[BUCKETS] += 1
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
+
+
 def _top_axes(x, dims: int):
     """Leading right singular vectors by subspace iteration from a fixed start."""
     import numpy as np

@@ -39,8 +39,8 @@ def test_repeats_equal_brute_force(spark):
             words[at:at] = p
         docs.append((i, " ".join(words)))
     docs += [(60, None), (61, ""), (62, "same " * 3000), (63, docs[3][1]), (64, docs[3][1])]
-    for length in (20, 6):
-        got = remove_repeats(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, starts string"), length=length)
+    for length, hot in ((20, 2000), (6, 2000), (6, 2)):
+        got = remove_repeats(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, starts string"), length=length, hot=hot)
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == repeats(docs, length)
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -82,3 +82,15 @@ def test_long_secrets_and_logins_go_whole(spark):
     assert [text[a:b] for k, a, b in found if k == "url"] == [f"https://{login}@example.com"]
     clean = spark.createDataFrame([(text,)], "text string").select(pii.redact("text").alias("t")).first().t
     assert clean == "token=[SECRET] then [URL]/x and secret: [SECRET]"
+
+
+def test_secrets_and_names_of_any_length():
+    secret = "x9" * 5000
+    name = "token_" + "of_the_service_" * 20
+    for text in (f"token={secret} after", f"{name} =  {secret}, after", f"{name}" * 40 + f"      :      {secret} after"):
+        found = [(a, b) for k, a, b in pii.Finder().spans(text) if k == "secret"]
+        assert [text[a:b] for a, b in found] == [secret]
+        assert secret[:50] not in pii.redacted(text, pii.Finder().spans(text))
+    long = "a" * 300 + "://" + "user" * 100 + "@host.example"
+    assert ("url", 0, len(long)) in pii.Finder().spans(long)
+    assert pii.Finder().spans("token" * 20_000 + " end") == []
