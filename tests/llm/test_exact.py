@@ -6,10 +6,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from lexigrid.llm.html import Page, main_text
 from lexigrid.llm.substrings import remove_repeats
-from lexigrid.llm.tokencounts import Counter, CountTree, edited_counts, revision_edits
+from lexigrid.llm.tokencounts import Counter, CountTree, apply_edits, count_trees, edited_counts, n_tokens, revision_edits, with_edits
 from lexigrid.llm.topk import MTree, top_k
 
 
@@ -95,6 +96,28 @@ def test_counts_follow_edits(spark):
     assert edited_counts(docs.limit(0), revision_edits(), path).count() == 0
 
 
+def test_leaves_split_and_trees_are_kept(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    counter, rng = Counter(path), random.Random(7)
+    text = "some plain words here. " * 400
+    tree = CountTree(text, counter)
+    for _ in range(300):
+        at = rng.randrange(400) + 3000
+        text = text[:at] + " inserted words, and more" + text[at:]
+        tree.edit(at, 0, " inserted words, and more")
+    assert tree.text == text and tree.total() == len(counter.encode(text))
+    assert max(tree.chars[tree.size :]) < 64 * 2 * 12 and tree.reencoded < 300 * 2000
+    again = CountTree(text, counter, tree.kept())
+    again.edit(10, 5, "new")
+    assert again.total() == len(counter.encode(text[:10] + "new" + text[15:])) and again.reencoded < 2000
+    docs = spark.createDataFrame([(1, "one two three " * 200), (2, None), (3, "left alone"), (None, "x")], "doc_id long, text string")
+    table = spark.createDataFrame([(1, 2, 0, 3, "ONE"), (1, 1, 5, 0, "zzz"), (9, 1, 0, 0, "lost"), (2, 1, 4, 4, "now full")], "doc_id long, seq int, start long, removed long, inserted string")
+    after = apply_edits(with_edits(count_trees(docs, path), table), F.col("edits"), path).withColumn("n", n_tokens()).collect()
+    want = {1: "ONE" + ("one two three " * 200)[3:5] + "zzz" + ("one two three " * 200)[5:], 2: "now full", 3: "left alone", None: "x"}
+    assert {r.doc_id: (r.text, r.n) for r in after} == {k: (t, len(counter.encode(t))) for k, t in want.items()}
+    assert {r.doc_id: r.n_edits for r in after} == {1: 2, 2: 1, 3: 0, None: 0}
+
+
 def test_main_text(spark):
     body = "<nav><a href='/x'>Menu</a></nav><div class=ad>Buy</div><article><h1>T</h1><p><b>A &amp; b<br><p>Body  text\nhere</p><div class='comments'>me</div></article><footer>F</footer><script>var t='</p>';</script>"
     pages = [(1, "http://a.example/1", f"<html><body>{body}</body></html>"), (2, "http://a.example/2", "<p>only this"), (3, None, None), (4, "x", ""), (4, "x", "")]
