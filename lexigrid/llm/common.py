@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: `[^\x20\x09-\x0D]+` is what bytes.split() returns: these are the six ASCII white-space bytes.
 ASCII_SPACES = " \t\n\x0b\x0c\r"
+#: Spark removes a query's shuffle files when the query ends, not when the driver happens to collect garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +44,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: short lineage, and a size the planner knows.
 
     A join with a small stored table is broadcast by Spark if its files are under
-    spark.sql.autoBroadcastJoinThreshold, and shuffled otherwise.
+    spark.sql.autoBroadcastJoinThreshold, and shuffled otherwise. The shuffle files of the write go when it
+    is done: df is not run again, so nothing could use them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexigrid-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
