@@ -116,13 +116,14 @@ def as_arrays(drawn: DataFrame) -> DataFrame:
 
 
 def on_cycle(heads: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(sent, m): the least place on a cycle of each sentence that has one: where `longest` jumps and more don't reach the root."""
-    table = heads.withColumn("p", F.transform("heads", lambda h: F.coalesce(h, F.lit(0))))
-    jumps = 1
-    while jumps < longest:
-        table = table.withColumn("p", F.transform("p", lambda x: F.get("p", x)))
-        jumps *= 2
-    return table.select("sent", F.array_min(F.filter("p", lambda x: x != 0)).alias("m")).where("m is not null")
+    """(sent, m): the least place on a cycle of each sentence that has one: where `longest` jumps and more don't reach the root.
+
+    The jumps are doubled by one fold, so that an optimizer that moves expressions can't nest them.
+    """
+    first = F.transform("heads", lambda h: F.coalesce(h, F.lit(0)))
+    times = F.sequence(F.lit(1), F.lit(max(1, (longest - 1).bit_length())))
+    jumped = F.aggregate(times, first, lambda p, _: F.transform(p, lambda x: F.get(p, x)))
+    return heads.select("sent", F.array_min(F.filter(jumped, lambda x: x != 0)).alias("m")).where("m is not null")
 
 
 def tree_heads(chances: DataFrame, seed: int, rounds: int = 100) -> DataFrame:

@@ -11,6 +11,7 @@ from lexigrid.operators import dependency as de
 from lexigrid.operators import embeddings as em
 from lexigrid.operators import models as mo
 from lexigrid.operators import sampling as sa
+from lexigrid.operators.training import cut
 from lexigrid.plans.catalogue import _TOKENS, _cells_sql, _docs, _rounded, _vectors, _vocab
 from lexigrid.plans.models import _MODEL, _sparse, _tile
 from lexigrid.sources.corpus import all_words, lines
@@ -19,6 +20,12 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 #: The cells of every token, as the twins make them.
 _WHOLE = _cells_sql("flat")[: _cells_sql("flat").index(" ORDER BY n DESC, token LIMIT")] + ")" + _cells_sql("flat")[_cells_sql("flat").index("),\nids AS") + 1 :]
+#: The same cells, each unordered pair of places counted once: half the joined rows, and no marginals.
+_CELLS = (
+    _WHOLE[: _WHOLE.index("kernel(k, w)")]
+    + "near AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM ids a CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS d) JOIN ids b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.p = a.p + d GROUP BY a.id, b.id), "
+    "cells AS (SELECT i, j, sum(k)::DOUBLE AS nij FROM (SELECT x AS i, y AS j, k FROM near UNION ALL SELECT y, x, k FROM near) GROUP BY i, j)"
+)
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 _BOTH = (
     "many AS (SELECT count(*) AS many FROM embeddings), "
@@ -37,8 +44,12 @@ def _query(sql: str | None = None):
     return add
 
 
+def _counted(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
+    return co.line_cooccurrences(lines(_docs(spark, sf_dir)), vocab, *kernel("flat", 5))
+
+
 def _all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.line_cooccurrences(lines(_docs(spark, sf_dir)), _vocab(spark, sf_dir, None), *kernel("flat", 5))
+    return _counted(spark, sf_dir, _vocab(spark, sf_dir, None))
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +147,7 @@ def undersampled_marginals_of_sector(spark, sf_dir):
 
 
 @_query(
-    _WHOLE + ", w AS (SELECT list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM conversations), "
+    _CELLS + ", w AS (SELECT list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM conversations), "
     "p AS (SELECT DISTINCT w[1] AS focal, w[2] AS context FROM w WHERE len(w) > 1) "
     "SELECT focal, context, coalesce(nij, 0)::DOUBLE AS nij FROM p LEFT JOIN vocab a ON a.token = focal LEFT JOIN vocab b ON b.token = context LEFT JOIN cells ON i = a.id AND j = b.id"
 )
@@ -144,7 +155,8 @@ def cooccurrence_of_token_pairs(spark, sf_dir):
     """How often the first two words of a conversation's texts stand near each other in documents."""
     talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
     pairs = talk.where(F.size("w") > 1).select(F.col("w")[0].alias("focal"), F.col("w")[1].alias("context")).distinct()
-    return co.cell_count(_all_cells(spark, sf_dir), _vocab(spark, sf_dir, None), pairs)
+    vocab = cut(_vocab(spark, sf_dir, None))
+    return co.cell_count(_counted(spark, sf_dir, vocab), vocab, pairs)
 
 
 _WHOLE_VOCAB = f"{_TOKENS}, vocab AS (SELECT (row_number() OVER (ORDER BY n DESC, token) - 1)::INT AS id, token, n FROM unigram)"
@@ -182,17 +194,18 @@ def _draw_sql(stream: int) -> str:
 
 
 @_query(
-    _WHOLE + ", d AS (SELECT unnest(range(10 * (SELECT count(*) FROM documents))) AS k), "
+    _CELLS + ", rows AS (SELECT i, sum(nij) AS ni FROM cells GROUP BY i), cols AS (SELECT j, sum(nij) AS nj FROM cells GROUP BY j), total AS (SELECT sum(nij) AS n FROM cells), "
+    "d AS (SELECT unnest(range(10 * (SELECT count(*) FROM documents))) AS k), "
     "ri AS (SELECT i, sum(sqrt(ni / n)) OVER (ORDER BY i) / sum(sqrt(ni / n)) OVER () AS high FROM rows CROSS JOIN total), "
     "cj AS (SELECT j, sum(sqrt(nj / n)) OVER (ORDER BY j) / sum(sqrt(nj / n)) OVER () AS high FROM cols CROSS JOIN total), "
     f"a AS (SELECT k, i FROM (SELECT k, {_draw_sql(0)} AS u FROM d) ASOF JOIN (SELECT i, coalesce(lag(high) OVER (ORDER BY i), 0) AS low FROM ri) ON u >= low), "
     f"b AS (SELECT k, j FROM (SELECT k, {_draw_sql(1)} AS u FROM d) ASOF JOIN (SELECT j, coalesce(lag(high) OVER (ORDER BY j), 0) AS low FROM cj) ON u >= low) "
-    "SELECT a.k AS n, i, j, round(coalesce(nij * f.n / (ni * nj), 0), 6) AS exp_pmi FROM a JOIN b USING (k) LEFT JOIN full_cells f USING (i, j)"
+    "SELECT k AS n, i, j, round(coalesce(nij * n / (ni * nj), 0), 6) AS exp_pmi FROM a JOIN b USING (k) LEFT JOIN cells USING (i, j) JOIN rows USING (i) JOIN cols USING (j) CROSS JOIN total"
 )
 def sample_balanced(spark, sf_dir):
     """Ten independent pairs a document from the tempered marginals, evenly spread, with what was counted of each pair."""
-    cells = _all_cells(spark, sf_dir)
-    sums = co.marginals(cells)
+    cells = cut(_all_cells(spark, sf_dir))
+    sums = cut(co.marginals(cells))
     pairs = sa.independent_pairs(spark, sums, 10 * _docs(spark, sf_dir).count(), 2, 7, sa.even)
     counted = co.attach(cells, sums).withColumn("exp_pmi", mo.exp_pmi())
     return _rounded(co.looked_up(pairs, counted, "exp_pmi").select("n", "i", "j", "exp_pmi"), "exp_pmi")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -192,6 +194,22 @@ def test_dependency_corpus(spark):
     assert [(r.word, r.head, r.arc) for r in told] == [("[ROOT]", None, None), ("unknown", "cat", "det"), ("cat", "sat", "subj"), ("sat", "[ROOT]", "root")]
 
 
+def test_cycles_of_long_sentences(spark):
+    """Many sentences of 30 places, some with one cycle: found within seconds, not by nested expressions."""
+    rng, rows, want = random.Random(3), [], {}
+    for sent in range(2000):
+        heads = [None, *(rng.randrange(m) for m in range(1, 30))]
+        if sent % 3 == 0:
+            ring = rng.sample(range(1, 30), rng.randint(2, 12))
+            for a, b in zip(ring, ring[1:] + ring[:1]):
+                heads[a] = b
+            want[sent] = min(ring)
+        rows.append((sent, heads))
+    began = time.time()
+    got = {r.sent: r.m for r in de.on_cycle(spark.createDataFrame(rows, "sent long, heads array<int>")).collect()}
+    assert got == want and time.time() - began < 30
+
+
 def test_parsing(spark):
     rows = [(1, [0, 1, 2], [None, 2, 0], 3), (2, [0, 3, 1, 2], [None, 2, 3, 1], 4), (3, [0, 2], [None, 0], 2)]
     found = spark.createDataFrame(rows, "sent long, words array<int>, heads array<int>, n int")
