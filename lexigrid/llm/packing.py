@@ -22,9 +22,17 @@ _KEPT_WORDS = 1_000_000
 _SLICE = 8e6
 
 
-def _plain(word: str) -> bool:
-    """Only Latin letters that are one code point in any normal form and have one lower case."""
-    return word.isalpha() and (word.isascii() or max(word) < "\u0180")
+def _letters(tokenizer) -> frozenset[str]:
+    """Latin letters of one lower case that this tokenizer parts from every mark of _TAIL: it was asked about each letter before each mark.
+
+    A letter such as U+0130, whose lower case has a mark of its own, is none of them.
+    """
+    ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    found = [c for k in range(0x180) if (c := chr(k)).isalpha() and len(c.lower()) == 1]
+    marks, alone = ids(list(_TAIL)), ids([w for c in found for w in (c, f"a{c}")])
+    glued = iter(ids([w + m for c in found for w in (c, f"a{c}") for m in _TAIL]))
+    apart = [all([next(glued) == word + mark for word in alone[2 * k : 2 * k + 2] for mark in marks]) for k in range(len(found))]
+    return frozenset(c for c, ok in zip(found, apart, strict=True) if ok)
 
 
 def _by_words(tokenizer) -> bool:
@@ -32,7 +40,7 @@ def _by_words(tokenizer) -> bool:
     spec = json.loads(tokenizer.to_str())
     return spec["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in json.dumps(spec["normalizer"]) and all(
         tokenizer.encode(text, add_special_tokens=False).ids == [i for w in text.split() for i in tokenizer.encode(w, add_special_tokens=False).ids]
-        for text in ("River  stone, (letter)\nGarden's 12", "Êtes-vous là? \t a.b")
+        for text in ("River  stone, (letter)\nGarden's 12", "Êtes-vous là? \t a.b", "İ. Aİ; x\u0301! 'Tis \u2014 e.g. 3.5%, #a_b")
     )
 
 
@@ -52,6 +60,7 @@ class WordIds(dict):
         self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = _by_words(self.tokenizer)
+        self.letters = _letters(self.tokenizer) if self.by_words else frozenset()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.word_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.word_end[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -66,7 +75,7 @@ class WordIds(dict):
         import numpy as np
 
         bare = [word.rstrip(_TAIL) for word in words]
-        cores = [core.lower() if core and _plain(core) else "" for core in bare]
+        cores = [core.lower() if core and self.letters.issuperset(core) else "" for core in bare]
         tails = [word[len(core) :] for word, core in zip(words, bare, strict=True)]
         unseen = list({core for core in cores if core and core not in self})
         others = list({w for word, core, tail in zip(words, cores, tails, strict=True) if (w := tail if core else word) not in self})

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lexigrid.llm.packing import WordIds, balance, pack_documents
+from lexigrid.llm.packing import _TAIL, WordIds, balance, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -28,6 +29,25 @@ def test_word_ids_equal_whole_text_encoding():
             assert words.encode([text or ""]) == [ids]
 
 
+def test_every_latin_letter_before_every_mark():
+    """Words that end in any letter up to U+017F, before one mark and two, have the ids of the whole text."""
+    whole = Tokenizer.from_file(PATH)
+    letters = [c for k in range(0x180) if (c := chr(k)).isalpha()]
+    texts = [f"{stem}{c}{mark}" for c in letters for stem in ("", "AL", "kayser") for mark in (*_TAIL, "?!", "...")]
+    texts += [f"x {c}{c} y, {c}." for c in letters]
+    for text, ids in zip(texts, WordIds(PATH).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_random_texts_of_all_kinds_of_letters():
+    rng, whole = random.Random(9), Tokenizer.from_file(PATH)
+    kinds = [range(0x20, 0x7F), range(0xA0, 0x250), range(0x300, 0x370), range(0x370, 0x500), range(0x2000, 0x2100), range(0x4E00, 0x4E40), (0x130, 0xDF, 0x1E9E, 0xFB01)]
+    texts = ["".join(chr(rng.choice(rng.choice(kinds))) if rng.random() < 0.8 else rng.choice(" .,!?;:") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    words = WordIds(PATH)
+    wrong = [t for t, ids in zip(texts, words.encode(texts), strict=True) if np.frombuffer(ids, "<u4").tolist() != whole.encode(t, add_special_tokens=False).ids]
+    assert not wrong, ascii(wrong[:3])
+
+
 def test_balance_fills_all_but_one_sequence():
     rng = np.random.default_rng(5)
     lengths = [int(x) for x in rng.integers(1, 5000, 300)]
