@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigrid.llm.common import table
+from lexigrid.llm.audit import AUDIT_SQL
+from lexigrid.llm.lines import LINES_SQL
+from lexigrid.llm.manifest import MANIFEST_SQL
 from lexigrid.llm.substrings import REPEATS_SQL
 from lexigrid.llm.topk import TOP_K_SQL
 
@@ -78,11 +81,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_counts(docs, revision_edits(), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrid.llm.manifest import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrid.llm.audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrid.llm.lines import line_digests
+
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_decontamination, op3_simhash, op4_toxicity, op5_html, op6_substrings, op7_pii, op8_quality,
-        op9_topk, op10_token_counts,
+        op9_topk, op10_token_counts, op11_manifest, op12_filter_audit, op13_line_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_substrings": REPEATS_SQL, "op9_topk": TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op6_substrings": REPEATS_SQL, "op9_topk": TOP_K_SQL, "op11_manifest": MANIFEST_SQL, "op12_filter_audit": AUDIT_SQL, "op13_line_dedup": LINES_SQL,
+}
