@@ -13,7 +13,7 @@ from lexigrid.llm.common import ASCII_SPACES, stored
 
 #: Kinds of rows that a stream over sorted occurrences gives.
 _DROP, _OPEN, _EDGE = 0, 1, 2
-_FOUND = "h1 long, h2 long, doc long, uid long, lines array<int>"
+_FOUND = "h1 long, h2 long, doc long, uid long, n_lines long, lines array<int>"
 
 
 def key_of(line: str) -> str:
@@ -22,7 +22,7 @@ def key_of(line: str) -> str:
 
 
 def _occurrences(least: int):
-    """Each key of a document once, with its lines: (h1, h2, doc, uid, lines)."""
+    """Each key of a document once, with its lines and how many the document has: (h1, h2, doc, uid, n_lines, lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -31,10 +31,11 @@ def _occurrences(least: int):
         from lexigrid.llm.common import rows_of
 
         for batch in batches:
-            keys, docs, uids, lines = [], [], [], []
+            keys, docs, uids, sizes, lines = [], [], [], [], []
             for doc, uid, text in rows_of([batch], "doc", "uid", "text"):
                 mine: dict[bytes, list[int]] = {}
-                for at, line in enumerate(text.split("\n")):
+                split = text.split("\n")
+                for at, line in enumerate(split):
                     bare = line.strip(ASCII_SPACES)
                     if len(bare) >= least:
                         mine.setdefault(xxhash.xxh128_digest(bare.encode("utf-8", "surrogatepass").lower()), []).append(at)
@@ -42,22 +43,23 @@ def _occurrences(least: int):
                 lines += mine.values()
                 docs += [doc] * len(mine)
                 uids += [uid] * len(mine)
+                sizes += [len(split)] * len(mine)
                 if len(keys) > 100_000:
-                    yield _batch(np.frombuffer(b"".join(keys), ">i8").astype(np.int64), docs, uids, lines)
-                    keys, docs, uids, lines = [], [], [], []
+                    yield _batch(np.frombuffer(b"".join(keys), ">i8").astype(np.int64), docs, uids, sizes, lines)
+                    keys, docs, uids, sizes, lines = [], [], [], [], []
             if keys:
-                yield _batch(np.frombuffer(b"".join(keys), ">i8").astype(np.int64), docs, uids, lines)
+                yield _batch(np.frombuffer(b"".join(keys), ">i8").astype(np.int64), docs, uids, sizes, lines)
 
     return run
 
 
-def _batch(hashes, docs, uids, lines) -> pa.RecordBatch:
-    columns = [pa.array(hashes[::2]), pa.array(hashes[1::2]), pa.array(docs, pa.int64()), pa.array(uids, pa.int64()), pa.array(lines, pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "uid", "lines"])
+def _batch(hashes, docs, uids, sizes, lines) -> pa.RecordBatch:
+    columns = [pa.array(hashes[::2]), pa.array(hashes[1::2]), *(pa.array(c, pa.int64()) for c in (docs, uids, sizes)), pa.array(lines, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "uid", "n_lines", "lines"])
 
 
 def _first_occurrences(many: int):
-    """One pass over a partition sorted by key and then by falling document: (kind, h1, h2, doc, uid, lines).
+    """One pass over a partition sorted by key and then by falling document: (kind, h1, h2, doc, uid, n_lines, lines).
 
     A key's first document keeps its lines. Those of the next `many` - 2 are held until another one shows that enough
     documents have the key, and then all but the first drop theirs. The first key of a partition may have begun in the
@@ -66,8 +68,8 @@ def _first_occurrences(many: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "h1", "h2", "doc", "uid", "lines"]
-        kinds = [pa.int8(), *[pa.int64()] * 4, pa.list_(pa.int32())]
+        names = ["kind", "h1", "h2", "doc", "uid", "n_lines", "lines"]
+        kinds = [pa.int8(), *[pa.int64()] * 5, pa.list_(pa.int32())]
         out: list[tuple] = []
         key = last = None
         first_key, docs, held = True, [], []
@@ -75,7 +77,7 @@ def _first_occurrences(many: int):
         def end_of_key(at_end: bool) -> None:
             if first_key or at_end:
                 out.extend((_OPEN, *row) for row in held)
-                out.extend((_EDGE, *key, *doc, None) for doc in docs)
+                out.extend((_EDGE, *key, *doc, None, None) for doc in docs)
 
         def taken() -> pa.RecordBatch:
             found = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -83,7 +85,7 @@ def _first_occurrences(many: int):
             return found
 
         for batch in batches:
-            for h1, h2, doc, uid, lines in zip(*(batch.column(n).to_pylist() for n in names[1:]), strict=True):
+            for h1, h2, doc, uid, n_lines, lines in zip(*(batch.column(n).to_pylist() for n in names[1:]), strict=True):
                 if key != (h1, h2):
                     if key is not None:
                         end_of_key(False)
@@ -94,7 +96,7 @@ def _first_occurrences(many: int):
                 last = doc, uid
                 if len(docs) < many:
                     docs.append(last)
-                row = h1, h2, doc, uid, lines
+                row = h1, h2, doc, uid, n_lines, lines
                 if first_key:
                     # Whether this is the key's first document is not known here.
                     out.append((_OPEN, *row))
@@ -170,10 +172,9 @@ def keep_bitmaps(docs: DataFrame, *, least: int = 20, many: int = 3, id_col: str
     # As many rows as twice the partitions, at most.
     known = edges.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max(F.struct("doc", "uid")).alias("largest")).where(F.col("docs") >= many)
     opened = streamed.where(F.col("kind") == _OPEN).join(F.broadcast(known), ["h1", "h2"]).where(F.struct("doc", "uid") != F.col("largest"))
-    gone = streamed.where(F.col("kind") == _DROP).select("doc", "uid", "lines").unionByName(opened.select("doc", "uid", "lines"))
-    gone = gone.groupBy("doc", "uid").agg(F.flatten(F.collect_list("lines")).alias("gone"))
-    sizes = rows.select("doc", "uid", _n_lines()).distinct()
-    return gone.join(sizes, ["doc", "uid"]).select("doc", "uid", "n_lines", "gone").mapInArrow(_bitmaps, "doc long, uid long, n_lines long, n_dropped long, keep binary")
+    gone = streamed.where(F.col("kind") == _DROP).select("doc", "uid", "n_lines", "lines").unionByName(opened.select("doc", "uid", "n_lines", "lines"))
+    gone = gone.groupBy("doc", "uid").agg(F.max("n_lines").alias("n_lines"), F.flatten(F.collect_list("lines")).alias("gone"))
+    return gone.mapInArrow(_bitmaps, "doc long, uid long, n_lines long, n_dropped long, keep binary")
 
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,8 +88,8 @@ def test_a_key_over_three_partitions():
             out = []
             for part in (rows[:a], rows[a:b], rows[b:]):
                 if part:
-                    columns = [*map(pa.array, zip(*part)), pa.array([[0]] * len(part), pa.list_(pa.int32()))]
-                    batch = pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "uid", "lines"])
+                    columns = [*map(pa.array, zip(*part)), pa.array([1] * len(part)), pa.array([[0]] * len(part), pa.list_(pa.int32()))]
+                    batch = pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "uid", "n_lines", "lines"])
                     out += [r for found in _first_occurrences(3)(iter([batch.slice(0, 2), batch.slice(2)])) for r in found.to_pylist()]
             edges: dict = {}
             for r in out:
