@@ -192,12 +192,13 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_digests(docs: DataFrame, *, least: int = 20, many: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and the sha256 of what stays, of every row, by the bitmaps of `keep_bitmaps`.
 
-    Only documents that drop lines are joined with their texts; the others' hash is that of the whole text. A null or
+    Texts meet their bitmaps by a shuffle, also where few documents drop lines: bitmaps grow with the table. The hash of
+    documents that drop none is that of the whole text. A null or
     empty text is one empty line. A null id stays null. An empty table gives no rows; other columns aren't read.
     """
     rows = _rows(docs, id_col, text_col)
     bitmaps = stored(keep_bitmaps(docs, least=least, many=many, id_col=id_col, text_col=text_col).select("doc", "uid", "n_dropped", "keep"), "bitmaps")
-    texts = rows.select("doc", "uid", "text").join(bitmaps, ["doc", "uid"]).select("doc", "uid", "n_dropped", "text", "keep")
+    texts = rows.select("doc", "uid", "text").join(bitmaps.hint("merge"), ["doc", "uid"]).select("doc", "uid", "n_dropped", "text", "keep")
     # Rows that repeat whole have one digest.
     changed = stored(texts.mapInArrow(_applied, "doc long, uid long, n_dropped long, kept_sha256 string").distinct(), "digests")
     whole = rows.select("doc_id", "doc", "uid", _n_lines(), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
