@@ -22,28 +22,42 @@ _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 CONTAINERS = frozenset("html body main article section div td table tbody tr blockquote center".split())
 DROPPED = frozenset("head nav footer aside form button dialog menu".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre hr figure figcaption th address caption thead tfoot details summary".split())
+#: Words that name boilerplate, words that name readers' comments, words that only tell a place, shape or kind of a
+#: thing, and words after which a name tells what a page has or lacks, as with-sidebar or no-comments.
 _BOILERPLATE = re.compile(
-    r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter"
-    r"|notice|popup|promo\w*|related|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?",
+    r"ads?|advert\w*|banners?|breadcrumbs?|cookies?|consent|disclaimer|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter"
+    r"|notices?|outbrain|paywall|popup|promo\w*|related|recommend\w*|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|subscription|taboola|teasers?|toolbar|trending|widgets?",
     re.I,
 )
-#: Parts of a class that say where or what shape, so site-footer or ad-300x250 name the thing itself; with, has, no or enabled don't.
+_COMMENTS = re.compile(r"comments?|commentlist|commenters?|discussions?|guestbook|replies|reply|respond|responses", re.I)
 _PLACE = re.compile(
-    r"area|article|bar|blog|block|bottom|box|buttons?|column|container|desktop|entry|fixed|form|global|group|header|icons?|inner|items?|left|links?|list|main|mobile"
-    r"|overlay|page|panel|posts?|primary|recent|respond|right|row|secondary|section|site|slot|sticky|text|title|top|trail|unit|wrap|wrapper|\d+(?:x\d+)?",
+    r"areas?|articles?|bar|blog|block|blurb|body|bottom|box|boxes|buttons?|cards?|center|centre|column|container|content|count|desktop|entry|entries|feed|fixed|form|global|grid|group|header|heading|holder|icons?|inner|items?|left|links?|lists?|main|message|mobile"
+    r"|outer|overlay|page|pages|panel|policy|posts?|primary|recent|region|right|row|secondary|section|site|slot|small|sticky|stories|story|tabs?|text|thread|threads|title|top|trail|units?|user|view|wrap|wrapper|zone|\d+(?:x\d+)?",
     re.I,
 )
+_HAVING = frozenset("with has have no not without show shows is hide hides enable enables enabled disabled allow allows open closed on off".split())
 _DIGITS = re.compile(r"\d+")
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
 @lru_cache(maxsize=65_536)
-def _named(value: str) -> bool:
-    """Whether a whole word of this class, id or role names boilerplate: each part does, or tells its place."""
+def _named(value: str) -> str:
+    """What a class, id or role names by a whole word of it: 'comments', other 'boilerplate', or nothing.
+
+    A word tells by its last part that is no place, or by comments among its parts, so that user-comments, comment-thread and related-articles name the
+    thing itself, and with-sidebar, ad-free, social-science or share-enabled don't.
+    """
+    found = ""
     for word in value.split():
-        parts = [part for part in re.split(r"[-_]+", word) if part]
-        if any(map(_BOILERPLATE.fullmatch, parts)) and all(_BOILERPLATE.fullmatch(part) or _PLACE.fullmatch(part) for part in parts):
-            return True
-    return False
+        parts = [part for part in _PARTS.split(word) if part]
+        telling = [part for part in parts if not _PLACE.fullmatch(part)]
+        if not telling or any(part.lower() in _HAVING for part in parts):
+            continue
+        if _COMMENTS.fullmatch(telling[-1]) or any(part.lower() in ("comment", "comments") for part in telling):
+            return "comments"
+        if _BOILERPLATE.fullmatch(telling[-1]):
+            found = "boilerplate"
+    return found
 
 
 class Page:
@@ -112,9 +126,11 @@ class Page:
                 stack.pop()
             names: dict[str, str] = {}
             for a, b, c, d in _ATTR.findall(m["attrs"] or ""):
-                if (a := a.lower()) in ("class", "id", "role"):
+                if (a := a.lower()) in ("class", "id", "role", "hidden"):
                     names.setdefault(a, b or c or d)
-            named = any(map(_named, names.values()))
+            hidden = names.pop("hidden", None) is not None
+            kinds = set(map(_named, names.values()))
+            named = hidden or "comments" in kinds or "boilerplate" in kinds
             if block:
                 # Only a block to leave out is a node; blocks within it are kept apart from its end.
                 if named and tag != "hr":
@@ -123,28 +139,47 @@ class Page:
                     stack.append((tag, stack[-1][1]))
             else:
                 off = tag in DROPPED or (tag == "header" and not any(t in ("article", "main") for t, _ in stack))
-                open_node(tag, names, off or (named and tag not in ("html", "body", "article", "main")))
+                if tag in ("article", "main"):
+                    # A comment may be an article, but one that tells what it shares is still the page's own.
+                    named = hidden or "comments" in kinds
+                    # A form around the page's article is no form to fill in.
+                    for t, node in stack:
+                        if t == "form":
+                            marked[node] = False
+                open_node(tag, names, off or (named and tag not in ("html", "body")))
         if at < len(source):
             held.append(source[at:])
         close_block()
         self._leave_out(marked, unlinked)
 
     def _leave_out(self, marked: list[bool], unlinked: list[int]) -> None:
-        """Marked nodes go with all below them, but not one with most of the page's unlinked text, nor all text there is."""
-        total = list(unlinked)
-        for k in range(len(total) - 1, 0, -1):
-            total[self.parents[k]] += total[k]
-        gone = [False] * len(total)
-        for k in range(1, len(total)):
-            gone[k] = gone[self.parents[k]] or (marked[k] and 2 * total[k] <= total[0])
-        if total[0] and not any(n for n, g in zip(unlinked, gone, strict=True) if not g):
-            return
+        """Marked nodes go with all below them, whatever their size.
+
+        Only where no text at all would be left, the marked node that has most text outside the marked nodes
+        in it stays, with those around it.
+        """
+        gone = self._below(marked)
+        if any(unlinked) and not any(n for n, g in zip(unlinked, gone, strict=True) if not g):
+            own = list(unlinked)
+            for k in range(len(own) - 1, 0, -1):
+                if not marked[k]:
+                    own[self.parents[k]] += own[k]
+            k = max((k for k in range(1, len(own)) if marked[k]), key=lambda k: (own[k], -k))
+            while k > 0:
+                marked[k], k = False, self.parents[k]
+            gone = self._below(marked)
         left = [k for k, g in enumerate(gone) if not g]
         place = {k: i for i, k in enumerate(left)} | {-1: -1}
         self.paths, self.scores = [self.paths[k] for k in left], [self.scores[k] for k in left]
         self.parents = [place[self.parents[k]] for k in left]
         self.blocks = [(place[node], text) for node, text in self.blocks if node in place]
 
+    def _below(self, marked: list[bool]) -> list[bool]:
+        gone = list(marked)
+        for k in range(1, len(gone)):
+            gone[k] = gone[k] or gone[self.parents[k]]
+        return gone
+
     def best(self) -> tuple[str, float]:
         """The path of the container with most text of its own and half of what its children hold."""
         total = list(self.scores)

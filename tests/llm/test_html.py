@@ -46,6 +46,49 @@ def generated(hosts, pages, seed=11):
     return rows, truth
 
 
+STORY = "<h1>A bridge</h1><p>The old bridge was closed in spring.</p><p>It opens again soon.</p>"
+TOLD = "A bridge\n\nThe old bridge was closed in spring.\n\nIt opens again soon."
+LONG = "<p>I have seen that bridge a hundred times and I still say so here.</p>" * 40
+
+
+@pytest.mark.parametrize("extra", [
+    f"<section class='comments'>{LONG}</section>", f"<div class='user-comments'>{LONG}</div>", f"<div id='comment-thread'>{LONG}</div>", f"<div class='related-articles'>{LONG}</div>",
+    f"<div class='cookie-policy'>{LONG}</div>", f"<div class='userComments'>{LONG}</div>", f"<footer>{LONG}</footer>", f"<div class='related'>{LONG}</div>", f"<form>{LONG}</form>",
+    f"<article class='comment'>{LONG}</article>" * 3, f"<div hidden>{LONG}</div>", "<p hidden>Not shown to anybody.</p>", f"<aside>{LONG}</aside>", f"<div role='navigation'>{LONG}</div>",
+])
+def test_what_is_left_out_goes_whatever_its_size(extra):
+    for page in (f"<article>{STORY}{extra}</article>", f"<article>{STORY}</article>{extra}", f"<div class='story'>{extra}{STORY}</div>", f"<div id='page'><main>{STORY}</main>{extra}</div>"):
+        assert Page(f"<html><body><nav>Home</nav>{page}<footer>Imprint</footer></body></html>").text("") == TOLD, page[:80]
+
+
+def test_where_all_is_marked_the_largest_part_stays():
+    assert Page(f"<body><form id='aspnet'><nav>Home</nav>{STORY}<div class='ads'>Buy</div></form><footer>Imprint</footer></body>").text("") == TOLD
+    assert Page(f"<body><form><div class='top'>Go</div><article>{STORY}</article></form><p>Stray</p></body>").text("").startswith("A bridge")
+    assert Page("<div class='comments'><p>Only this was ever said.</p></div>").text("") == "Only this was ever said."
+    assert Page("<footer></footer>").text("") == ""
+    deep = "<div class='ad'>" * 30_000 + "<p>deep"
+    assert Page(deep).text("") == "deep"
+
+
+def test_comments_longer_than_articles_on_generated_pages(spark):
+    """Names that the lists don't hold as a whole, comments of up to five times the article, inside it and beside it."""
+    rng, rows, truth = random.Random(21), [], {}
+    names = ["readerComments", "comment_stream-list", "user-comments", "comments-42", "post-replies", "discussion-zone", "article-comments wide", "guestbook-entries"]
+    for host in range(16):
+        name, inside = rng.choice(names), rng.random() < 0.5
+        for page in range(8):
+            blocks = [_words(rng, "a", 10, 40) for _ in range(rng.randint(2, 6))]
+            said = "".join(f"<div class='entry'><b>{_words(rng, 'j', 1, 2)}</b><p>{_words(rng, 'j', 5, 40)}</p></div>" for _ in range(rng.randint(0, 5 * len(blocks))))
+            story, talk = "".join(f"<p>{b}</p>" for b in blocks), f"<div class='{name}'>{said}</div>"
+            body = f"<div class='txt'>{story}{talk}</div>" if inside else f"<div class='txt'>{story}</div>{talk}"
+            key = host * 8 + page
+            rows.append((key, f"https://c{host}.example/{page}", f"<html><body><div class='page'>{body}</div></body></html>"))
+            truth[key] = " ".join(blocks).split()
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hit = sum((Counter(truth[k]) & Counter(got[k].split())).total() for k in truth)
+    assert hit / sum(map(len, truth.values())) >= 0.95 and hit / sum(len(t.split()) for t in got.values()) >= 0.95
+
+
 @pytest.fixture(scope="module")
 def extracted(spark):
     rows, truth = generated(40, 12)
