@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexigrid.operators import cooccurrence as co
 from lexigrid.operators import embeddings as em
 from lexigrid.operators import models as mo
+from lexigrid.operators import tiles as ti
+from lexigrid.operators.training import cut
 from lexigrid.plans.catalogue import _TOKENS, _VOCAB, VOCABULARY, _cells, _cells_sql, _rounded, _vectors, _vocab
 from lexigrid.sources.corpus import all_words
 
@@ -65,9 +67,19 @@ def _sparse(spark, sf_dir, bias: bool = False, size: int | None = SIZE) -> DataF
     return mo.dense_scores(co.with_marginals(_model_cells(spark, sf_dir, size)), _params(spark, sf_dir, size), bias)
 
 
-def _tile(spark, sf_dir) -> DataFrame:
-    vocab = _vocab(spark, sf_dir).where(F.col("id") < SIZE)
-    return mo.dense_scores(mo.dense_tile(_model_cells(spark, sf_dir), vocab), _params(spark, sf_dir))
+def _dense(spark, sf_dir, form: ti.Form, size: int | None, shares: DataFrame | None = None, **asked) -> DataFrame:
+    """A pass over every pair of ids, in blocks: of the whole vocabulary without a size."""
+    cells = cut(_model_cells(spark, sf_dir, size))
+    return ti.dense_pass(cells, cut(co.marginals(cells)), cut(_params(spark, sf_dir, size)), form, shares=shares, **asked)
+
+
+def _row_losses(spark, sf_dir, form: ti.Form, size: int | None) -> DataFrame:
+    return _dense(spark, sf_dir, form, size).select(F.col("id").alias("i"), F.round("loss", 5).alias("loss"))
+
+
+def _slopes(spark, sf_dir, form: ti.Form, size: int | None, side: str, digits: int) -> DataFrame:
+    found = _dense(spark, sf_dir, form, size, loss=False, slopes=(side,)).where(F.col("side") == side)
+    return found.select("id", F.posexplode("g").alias("dim", "g")).withColumn("g", F.round("g", digits))
 
 
 def _by_row(scored: DataFrame, loss) -> DataFrame:
@@ -95,18 +107,18 @@ def loss_glove(spark, sf_dir, size=SIZE):
 
 
 @_query(_MODEL + f"SELECT i, round(sum({_NEGATIVES} * ln(1 + exp(score)) + nij * (ln(1 + exp(score)) - score)), 5) AS loss FROM tile GROUP BY i")
-def loss_sgns(spark, sf_dir):
-    return _by_row(_tile(spark, sf_dir), mo.sgns_loss())
+def loss_sgns(spark, sf_dir, size=SIZE):
+    return _row_losses(spark, sf_dir, ti.sgns(), size)
 
 
 @_query(_MODEL + "SELECT i, round(sum(ind * exp(score) - nij / n * score), 5) AS loss FROM tile GROUP BY i")
-def loss_mle(spark, sf_dir):
-    return _by_row(_tile(spark, sf_dir), mo.mle_loss())
+def loss_mle(spark, sf_dir, size=SIZE):
+    return _row_losses(spark, sf_dir, ti.mle(), size)
 
 
 @_query(_MODEL + "SELECT i, round(sum((ind * exp(score) - nij / n * score) * pow(ind, -0.5)), 5) AS loss FROM tile GROUP BY i")
 def loss_mle_tempered(spark, sf_dir):
-    return _by_row(_tile(spark, sf_dir), mo.mle_loss(2))
+    return _row_losses(spark, sf_dir, ti.mle(2), SIZE)
 
 
 def _pairs(spark, sf_dir, size: int | None = SIZE) -> DataFrame:
@@ -140,12 +152,12 @@ def grad_glove_v(spark, sf_dir, size=SIZE):
 
 @_query(_gradient_sql("tile", f"(nij + {_NEGATIVES}) / (1 + exp(-score)) - nij", "w"))
 def grad_sgns_w(spark, sf_dir):
-    return _rounded(mo.gradient(_tile(spark, sf_dir), mo.sgns_delta(), "w"), "g")
+    return _slopes(spark, sf_dir, ti.sgns(), SIZE, "w", 6)
 
 
 @_query(_gradient_sql("tile", "ind * exp(score) - nij / n", "v", 9))
-def grad_mle_v(spark, sf_dir):
-    return mo.gradient(_tile(spark, sf_dir), mo.mle_delta(), "v").withColumn("g", F.round("g", 9))
+def grad_mle_v(spark, sf_dir, size=SIZE):
+    return _slopes(spark, sf_dir, ti.mle(), size, "v", 9)
 
 
 @_query(

@@ -11,9 +11,10 @@ from lexigrid.operators import dependency as de
 from lexigrid.operators import embeddings as em
 from lexigrid.operators import models as mo
 from lexigrid.operators import sampling as sa
+from lexigrid.operators import tiles as ti
 from lexigrid.operators.training import cut
 from lexigrid.plans.catalogue import _TOKENS, _cells_sql, _docs, _rounded, _vectors, _vocab
-from lexigrid.plans.models import _MODEL, _sparse, _tile
+from lexigrid.plans.models import _MODEL, SIZE, _dense, _sparse
 from lexigrid.sources.corpus import all_words, lines
 
 QUERIES: dict = {}
@@ -245,8 +246,10 @@ _SHARES = ", uni AS (SELECT id, pow(n, 0.75) AS n FROM vocab), ushare AS (SELECT
 @_query(_MODEL + _SHARES + "SELECT i, round(sum(15 * (ni - nij) * share * ln(1 + exp(score)) + nij * (ln(1 + exp(score)) - score)), 5) AS loss FROM tile JOIN ushare ON id = j GROUP BY i")
 def loss_sgns_unigram(spark, sf_dir):
     """Negatives by the smoothed counts of tokens."""
-    tile = mo.with_unigram(_tile(spark, sf_dir), co.smoothed(_vocab(spark, sf_dir), 0.75).select("id", "n"))
-    return tile.groupBy("i").agg(F.round(F.sum(mo.sgns_loss(share=F.col("share"))), 5).alias("loss"))
+    counts = co.smoothed(_vocab(spark, sf_dir), 0.75)
+    whole = F.broadcast(counts.agg(F.sum("n").alias("whole")))
+    shares = counts.crossJoin(whole).select("id", (F.col("n") / F.col("whole")).alias("share"))
+    return _dense(spark, sf_dir, ti.sgns(), SIZE, shares).select(F.col("id").alias("i"), F.round("loss", 5).alias("loss"))
 
 
 @_query(_MODEL + "SELECT i AS id, round(sum(2 * least(pow(nij / 100, 0.75), 1) * (score + a.wb + b.vb - ln(nij))), 6) AS g FROM sparse JOIN params a ON a.id = i JOIN params b ON b.id = j GROUP BY i")
