@@ -128,7 +128,7 @@ def on_cycle(heads: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 def tree_heads(chances: DataFrame, seed: int, rounds: int = 100) -> DataFrame:
     """(sent, heads) without cycles: while a sentence has one, a word on it draws its head again. ValueError after `rounds`."""
-    from lexigrid.operators.training import cut
+    from lexigrid.sources.shared import cut
 
     chances = cut(chances)
     drawn = cut(drawn_heads(chances, seed))

@@ -9,8 +9,8 @@ from lexigrid.operators import cooccurrence as co
 from lexigrid.operators import embeddings as em
 from lexigrid.operators import models as mo
 from lexigrid.operators import tiles as ti
-from lexigrid.operators.training import cut
 from lexigrid.plans.catalogue import _TOKENS, _VOCAB, VOCABULARY, _cells, _cells_sql, _rounded, _vectors, _vocab
+from lexigrid.sources.shared import cut
 from lexigrid.sources.corpus import all_words
 
 #: Ids of the model's vocabulary: the most frequent tokens, each with the vector of the same id.

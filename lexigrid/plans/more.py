@@ -12,9 +12,9 @@ from lexigrid.operators import embeddings as em
 from lexigrid.operators import models as mo
 from lexigrid.operators import sampling as sa
 from lexigrid.operators import tiles as ti
-from lexigrid.operators.training import cut
 from lexigrid.plans.catalogue import _TOKENS, _cells_sql, _docs, _rounded, _vectors, _vocab
 from lexigrid.plans.models import _MODEL, SIZE, _dense, _sparse
+from lexigrid.sources.shared import cut
 from lexigrid.sources.corpus import all_words, lines
 
 QUERIES: dict = {}
@@ -185,7 +185,7 @@ def unigram_sorted_by_tokens(spark, sf_dir):
 @_query(_WHOLE + "SELECT i, round(sum(ni) OVER (ORDER BY i) / n, 9) AS high FROM rows CROSS JOIN total")
 def sample_distribution(spark, sf_dir):
     sums = co.marginals(_all_cells(spark, sf_dir))
-    shares = sa.distribution(sums.where("side = 'row'").select((F.col("id") / 1000).cast("int").alias("run"), F.col("id").alias("i"), "n"), ["run", "i"], "n")
+    shares = sa.distribution(sums.where("side = 'row'").select(F.col("id").alias("i"), "n"), ["i"], "n")
     return shares.select("i", F.round("high", 9).alias("high"))
 
 
@@ -223,6 +223,19 @@ def sample_gibbs_conditional(spark, sf_dir):
     return sa.conditional(asked, both, _vocab(spark, sf_dir, None).select("id", F.col("n").alias("p")), "v", "w").withColumn("p", F.round("p", 9))
 
 
+@_query(
+    f"WITH {_WHOLE_VOCAB}, {_BOTH}, s AS (SELECT q.id AS n, c.id, ln(k.n) + list_inner_product(q.v, c.w) - ln(-ln(u - floor(u))) AS e FROM (SELECT q.id, q.v FROM v q WHERE q.id % 20 = 0) q "
+    f"JOIN v c ON true JOIN vocab k ON k.id = c.id, LATERAL (SELECT 0.5::DOUBLE + q.id * {sa.STEPS[0]!r}::DOUBLE + c.id * {sa.STEPS[1]!r}::DOUBLE AS u)) "
+    "SELECT n, arg_max(id, e)::INT AS id FROM s GROUP BY n"
+)
+def sample_gibbs_step(spark, sf_dir):
+    """Of every id divisible by 20, one partner drawn by its count times exp(v . w), with fixed noise."""
+    both = cut(_both(spark, sf_dir))
+    asked = both.where("id % 20 = 0").select(F.col("id").alias("n"), "id")
+    marginal = _vocab(spark, sf_dir, None).select("id", F.col("n").alias("p"))
+    return sa.gibbs_step(asked, both, marginal, "v", "w", sa.even_noise)
+
+
 @_query(
     f"WITH {_BOTH}, p AS (SELECT id AS i, (5 * id + 1) % many AS j FROM v, many), n AS (SELECT len(v) // 2 AS h FROM v LIMIT 1), "
     "s AS (SELECT i, j, unnest([list_inner_product(b.w[:h], a.v[:h]) + b.wb + a.vb, list_inner_product(b.w[:h], a.v[h + 1:]) + b.wb - a.vb, "

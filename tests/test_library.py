@@ -99,7 +99,7 @@ def test_samples_follow_their_distributions(spark):
     params = em.random_vectors(spark, 4, 3, seed=2, scale=1.0)
     rows, columns = (sa.tempered_marginal(sums, s, 1) for s in ("row", "column"))
     start = both.where("positive").select("n", "i", "j")
-    got = sa.gibbs(spark, start, params, rows, columns, 1, 11)
+    got = sa.gibbs(start, params, rows, columns, 1, 11)
     assert got.count() == 500 and got.where("i is null or j is null").count() == 0
     p = {r.id: r for r in params.collect()}
     weights = {j: columns.where(F.col("id") == j).first().p * math.exp(np.dot(p[0].v, p[j].w)) for j in range(4)}
