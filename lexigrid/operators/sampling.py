@@ -288,7 +288,8 @@ def hashed_noise(seed: int):
         import numpy as np
 
         one, two, three = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-        x = (n.astype(np.int64).view(np.uint64) * one + np.uint64(seed & (1 << 64) - 1) * two)[:, None] ^ (ids.astype(np.int64).view(np.uint64) * three)[None, :]
+        start = np.uint64(seed * 0xBF58476D1CE4E5B9 & (1 << 64) - 1)
+        x = (n.astype(np.int64).view(np.uint64) * one + start)[:, None] ^ (ids.astype(np.int64).view(np.uint64) * three)[None, :]
         for shift, factor in ((30, two), (27, three), (31, one)):
             x = (x ^ (x >> np.uint64(shift))) * factor
         return ((x >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)

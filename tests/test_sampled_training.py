@@ -1,0 +1,149 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexigrid.functions.runs import Diverged
+from lexigrid.operators import cooccurrence as co
+from lexigrid.operators import embeddings as em
+from lexigrid.operators import models as mo
+from lexigrid.operators import sampled_training as st
+from lexigrid.operators import sampling as sa
+from lexigrid.operators import training as tr
+from lexigrid.sources.shared import cut
+
+N = [[0, 70, 20, 10, 0], [30, 0, 0, 40, 1], [0, 60, 0, 0, 2], [20, 0, 50, 0, 0], [1, 0, 0, 3, 0]]
+SIZE = 8
+
+
+@pytest.fixture(scope="module")
+def drawn(spark):
+    cells = spark.createDataFrame([(i, j, float(x)) for i, r in enumerate(N) for j, x in enumerate(r) if x], "i int, j int, nij double")
+    sums = co.marginals(cells)
+    full = co.attach(cells, sums)
+    sampler, counted = sa.PairSampler(full, sums, 2.0), cut(full.withColumn("exp_pmi", mo.exp_pmi()))
+    return {
+        "sample": lambda k, params: sampler.batch(SIZE, 10 * k),
+        "gibbs": lambda k, params: sampler.gibbs_batch(SIZE, params, 1, 10 * k),
+        "balanced": lambda k, params: co.looked_up(sampler.independent(SIZE, 10 * k), counted, "exp_pmi"),
+    }
+
+
+LOSSES = {"sample": st.sample_mle(), "gibbs": st.gibbs_mle(), "balanced": st.balanced_mle()}
+
+
+def by_hand(pairs, v, w, kind):
+    """Loss and gradients of one batch, pair by pair."""
+    gv, gw, total = np.zeros_like(v), np.zeros_like(w), 0.0
+    for r in pairs:
+        s = v[r.i] @ w[r.j]
+        if kind == "balanced":
+            value, d = math.exp(s) - r.exp_pmi * s, math.exp(s) - r.exp_pmi
+        else:
+            far = (math.exp(s), math.exp(s)) if kind == "sample" else (s, 1.0)
+            value, d = (-s, -1.0) if r.positive else far
+        total += value / SIZE
+        gv[r.i] += d / SIZE * w[r.j]
+        gw[r.j] += d / SIZE * v[r.i]
+    return total, gv, gw
+
+
+@pytest.mark.parametrize(("kind", "optimizer", "accumulate", "bias"), [("sample", "adam", 1, False), ("gibbs", "adagrad", 1, True), ("balanced", "sgd", 2, False), ("balanced", "adam", 2, True)])
+def test_steps_equal_numpy(spark, drawn, tmp_path, kind, optimizer, accumulate, bias):
+    start = em.random_vectors(spark, 5, 3, seed=6, scale=0.5)
+    start = tr.with_biases(start) if bias else start
+    rows = {r.id: r for r in start.collect()}
+    v, w = (np.array([rows[k][s] for k in range(5)]) for s in "vw")
+    kept = {s: [np.zeros_like(v), np.zeros_like(v)] for s in "vw"}
+    table = st.ParameterTable.create(start, str(tmp_path / "run"), optimizer)
+    batches: dict = {}
+
+    def batch(k, params):
+        assert (params is None) == (kind != "gibbs")
+        made = cut(drawn[kind](k, params))
+        batches[k] = made.collect()
+        return made
+
+    losses = st.train_sampled(table, batch, LOSSES[kind], size=SIZE, rate=lambda t: 0.1 / (t + 1), updates=3, accumulate=accumulate, bias=bias, needs_params=kind == "gibbs", merge_every=2)
+    want = []
+    for t in range(1, 4):
+        parts = [by_hand(batches[k], v, w, kind) for k in range((t - 1) * accumulate, t * accumulate)]
+        want.append(sum(p[0] for p in parts) / accumulate)
+        slope = {"v": sum(p[1] for p in parts), "w": sum(p[2] for p in parts)}
+        touched = sorted({x for k in range((t - 1) * accumulate, t * accumulate) for r in batches[k] for x in (r.i, r.j)})
+        if bias:
+            slope["v"][:, -1] = slope["w"][:, -2] = 0
+        for s, x in (("v", v), ("w", w)):
+            g, (m, q), rate = slope[s][touched], kept[s], 0.1 / t
+            if optimizer == "sgd":
+                x[touched] -= rate * g
+            elif optimizer == "adagrad":
+                q[touched] += g * g
+                x[touched] -= rate * g / (np.sqrt(q[touched]) + 1e-10)
+            else:
+                m[touched] = 0.9 * m[touched] + 0.1 * g
+                q[touched] = 0.999 * q[touched] + 0.001 * g * g
+                x[touched] -= rate * (m[touched] / (1 - 0.9**t)) / (np.sqrt(q[touched] / (1 - 0.999**t)) + 1e-8)
+    assert losses == pytest.approx(want)
+    found = {r.id: r for r in table.current().collect()}
+    assert len(found) == 5
+    for k in range(5):
+        assert found[k].v == pytest.approx(v[k].tolist()) and found[k].w == pytest.approx(w[k].tolist())
+
+
+def test_a_stopped_run_goes_on(spark, drawn, tmp_path):
+    start = em.random_vectors(spark, 5, 3, seed=6, scale=0.5)
+    go = {"loss": LOSSES["sample"], "size": SIZE, "rate": lambda t: 0.2, "merge_every": 2}
+    whole = st.ParameterTable.create(start, str(tmp_path / "whole"))
+    st.train_sampled(whole, drawn["sample"], updates=5, **go)
+    path = str(tmp_path / "stopped")
+    st.ParameterTable.create(start, path)
+
+    class Killed(Exception):
+        pass
+
+    def dies(k, params):
+        if k == 3:
+            raise Killed
+        return drawn["sample"](k, params)
+
+    with pytest.raises(Killed):
+        st.train_sampled(st.ParameterTable.resume(spark, path), dies, updates=5, **go)
+    # What an update left that never got its manifest.
+    start.write.parquet(f"{path}/delta-4")
+    table = st.ParameterTable.resume(spark, path)
+    assert table.state["update"] == 3 and len(table.losses) == 3
+    losses = st.train_sampled(table, drawn["sample"], updates=5, **go)
+    assert losses == pytest.approx(whole.losses, rel=1e-12)
+    rows = [{r.id: (r.v, r.w) for r in t.current().collect()} for t in (table, whole)]
+    assert rows[0].keys() == rows[1].keys() and all(np.allclose(rows[0][k], rows[1][k], rtol=1e-12, atol=0) for k in rows[0])
+    with pytest.raises(ValueError):
+        st.ParameterTable.create(start, path)
+    with pytest.raises(ValueError):
+        st.ParameterTable.resume(spark, str(tmp_path / "nothing"))
+    left = {p.name for p in (tmp_path / "stopped").iterdir()}
+    assert "base-0" not in left and "delta-1" not in left and "manifest-5" in left
+
+
+def test_only_touched_ids_are_rewritten(spark, tmp_path):
+    start = em.random_vectors(spark, 50, 3, seed=6, scale=0.5)
+    table = st.ParameterTable.create(start, str(tmp_path / "run"))
+    pairs = spark.createDataFrame([(0, 3, 7, True), (1, 3, 9, False)], "n long, i int, j int, positive boolean")
+    st.train_sampled(table, lambda k, params: pairs, LOSSES["sample"], size=1, rate=lambda t: 0.1, updates=1)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "run" / "delta-1")).collect()) == [3, 7, 9]
+    before, after = ({r.id: (r.v, r.w) for r in t.collect()} for t in (start, table.current()))
+    assert {k for k in before if before[k] != after[k]} == {3, 7, 9} and len(after) == 50
+    few = table.current(spark.createDataFrame([(3,), (4,)], "id int")).collect()
+    assert {r.id: (r.v, r.w) for r in few} == {k: after[k] for k in (3, 4)}
+
+
+def test_divergence_leaves_the_table_before(spark, tmp_path):
+    table = st.ParameterTable.create(em.random_vectors(spark, 4, 2, seed=1), str(tmp_path / "run"), "sgd")
+    pairs = spark.createDataFrame([(0, 1, 2, True)], "n long, i int, j int, positive boolean")
+    with pytest.raises(Diverged):
+        st.train_sampled(table, lambda k, params: pairs, LOSSES["gibbs"], size=1, rate=lambda t: 1e6, updates=3)
+    assert st.ParameterTable.resume(spark, str(tmp_path / "run")).state["update"] == 0
+    assert table.current().where(F.size("v") == 2).count() == 4
