@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators.cooccurrence import numbered
 from lexigrid.operators.embeddings import dot
+from lexigrid.operators.sampled_training import SampledLoss
+from lexigrid.sources.shared import cut
 
 #: Words of a sentence, the root among them.
 LONGEST = 30
@@ -126,28 +131,120 @@ def on_cycle(heads: DataFrame, longest: int = LONGEST) -> DataFrame:
     return heads.select("sent", F.array_min(F.filter(jumped, lambda x: x != 0)).alias("m")).where("m is not null")
 
 
-def tree_heads(chances: DataFrame, seed: int, rounds: int = 100) -> DataFrame:
-    """(sent, heads) without cycles: while a sentence has one, a word on it draws its head again. ValueError after `rounds`."""
-    from lexigrid.sources.shared import cut
-
-    chances = cut(chances)
-    drawn = cut(drawn_heads(chances, seed))
-    for k in range(1, rounds + 1):
-        cycles = cut(on_cycle(as_arrays(drawn)))
-        if cycles.isEmpty():
-            return as_arrays(drawn)
-        again = drawn_heads(chances.join(cycles, ["sent", "m"], "left_semi"), seed + k)
-        drawn = cut(drawn.join(cycles, ["sent", "m"], "left_anti").unionByName(again))
-    raise ValueError(f"cycles are left after {rounds} rounds")
+def _numbers(seed: int, sents, words, times):
+    """Numbers in [0, 1) by seed, sentence, word and how many times it was drawn before."""
+    import numpy as np
+
+    one, two, three = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+    x = sents.astype(np.int64).view(np.uint64) * one + np.uint64(seed * 0x2545F4914F6CDD1D & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(29))) * two + words.astype(np.uint64) * three + times.astype(np.uint64) * one
+    for shift, factor in ((30, two), (27, three), (31, one)):
+        x = (x ^ (x >> np.uint64(shift))) * factor
+    return (x >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def _popped(seed: int, rounds: int):
+    """Heads of sentences (sent, chances) without cycles, some thousand sentences at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("chances")
+            sents, sizes = batch.column("sent").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            m, h, p = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            row = np.repeat(np.arange(len(sents)), sizes)
+            longest = int(max(m.max(initial=0), h.max(initial=0))) + 1
+            words = np.zeros(len(sents), np.int64)
+            np.maximum.at(words, row, np.maximum(m, h) + 1)
+            upto = np.zeros((len(sents), longest, longest))
+            upto[row, m, h] = p
+            upto = upto.cumsum(axis=2)
+            last = np.zeros((len(sents), longest), np.int64)
+            np.maximum.at(last, (row[p > 0], m[p > 0]), h[p > 0])
+            heads, times = np.zeros((len(sents), longest), np.int64), np.zeros((len(sents), longest), np.int64)
+            who, at = np.nonzero((np.arange(longest) > 0) & (np.arange(longest) < words[:, None]))
+            for _ in range(rounds):
+                # The first head whose share reaches over the number; rounding may leave none but the last.
+                u = _numbers(seed, sents[who], at, times[who, at]) * upto[who, at, -1]
+                heads[who, at] = np.minimum((upto[who, at] <= u[:, None]).sum(axis=1), last[who, at])
+                times[who, at] += 1
+                some = np.unique(who)
+                far = heads[some]
+                for _ in range(longest.bit_length()):
+                    far = np.take_along_axis(far, far, axis=1)
+                # Whoever is reached after so many steps lies on a cycle.
+                reached = np.zeros((len(some), longest), bool)
+                np.put_along_axis(reached, far, True, axis=1)
+                reached[:, 0] = False
+                of, at = np.nonzero(reached)
+                who = some[of]
+                if not len(who):
+                    break
+            else:
+                raise ValueError(f"cycles are left after {rounds} rounds in sentence {sents[who[0]]}")
+            found = [[None, *heads[k, 1 : words[k]].tolist()] for k in range(len(sents))]
+            yield pa.RecordBatch.from_arrays([pa.array(sents, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["sent", "heads"])
+
+    return run
+
+
+def tree_heads(chances: DataFrame, seed: int, rounds: int = 10_000) -> DataFrame:
+    """(sent, heads) without cycles, in one pass over (sent, m, h, p): a tree by the product of its words' chances.
+
+    All words draw a head; while some lie on cycles, those and only those draw again. That is cycle popping, whose
+    trees have exactly the chance of a draw that happened to have no cycle. Sentences are short, so each is one row of
+    a batch. Fails with ValueError after `rounds`, as where no chance leads to the root.
+    """
+    held = chances.groupBy(F.col("sent").cast("long").alias("sent")).agg(F.collect_list(F.struct(F.col("m").cast("int").alias("m"), F.col("h").cast("int").alias("h"), F.col("p").cast("double").alias("p"))).alias("chances"))
+    return held.mapInArrow(_popped(seed, rounds), "sent long, heads array<int>")
 
 
 def contrast(found: DataFrame, params: DataFrame, negatives: int, seed: int, constrained: bool = True) -> DataFrame:
     """(sent, positive_score, negative_score): of the heads given, and the mean of those drawn `negatives` times."""
-    chances = head_chances(energies(found, params))
-    out = scores(found, params).withColumnRenamed("score", "positive_score")
-    each = None
+    drawn = drawn_negatives(found, params, negatives, seed, constrained)
+    numbered = found.drop("heads").join(drawn, "sent").withColumns({"whole": F.col("sent"), "sent": F.struct("sent", "draw")})
+    far = scores(numbered, params).groupBy(F.col("sent.sent").alias("sent")).agg(F.avg("score").alias("negative_score"))
+    return scores(found, params).withColumnRenamed("score", "positive_score").join(far, "sent")
+
+
+def drawn_negatives(found: DataFrame, params: DataFrame, negatives: int, seed: int, constrained: bool = True) -> DataFrame:
+    """(sent, draw, heads): heads drawn by the parameters' chances, `negatives` times; trees where constrained."""
+    chances, out = cut(head_chances(energies(found, params)), "chances"), None
     for k in range(negatives):
         heads = tree_heads(chances, seed + 1000 * k) if constrained else as_arrays(drawn_heads(chances, seed + 1000 * k))
-        one = scores(found.drop("heads").join(heads, "sent"), params)
-        each = one if each is None else each.unionByName(one)
-    return out.join(each.groupBy("sent").agg(F.avg("score").alias("negative_score")), "sent")
+        one = heads.select("sent", F.lit(k).alias("draw"), "heads")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def head_pairs(found: DataFrame, sign: Column) -> DataFrame:
+    """(sent, i, j, sign): for every word but the root the word of its head as i, itself as j."""
+    each = F.slice(F.arrays_zip(head_words().alias("i"), F.col("words").alias("j")), 2, 1_000_000)
+    return found.select("sent", sign.alias("sign"), F.explode(each).alias("t")).select("sent", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "sign")
+
+
+def parser_loss() -> SampledLoss:
+    """The loss of `parser_batches`: their pairs' signs times the scores."""
+    return SampledLoss(lambda n: F.col("sign") * F.col("score") / n, lambda n: F.col("sign") / n)
+
+
+def parser_batches(found: DataFrame, many: int, negatives: int, seed: int, constrained: bool = True) -> Callable:
+    """batch(k, params) for `sampled_training.train_sampled`, with needs_params and size 1: batch k mod `many` of the sentences.
+
+    The loss is -(sum of the given heads' scores - mean of the drawn heads' sums) by the number of sentences. Heads are
+    drawn anew for each batch, by the chances that its parameters give. A word's vector v learns where it is a head, w
+    where it has one, whatever sentences and places they are. Biases are at the ends of the vectors.
+    """
+
+    def batch(k: int, params: DataFrame) -> DataFrame:
+        mine = cut(found.where(F.pmod(F.xxhash64("sent"), F.lit(many)) == k % many), "sentences")
+        whole = params.select("id", "v", "w", F.lit(0.0).alias("vb"), F.lit(0.0).alias("wb"))
+        size = max(1, mine.count())
+        drawn = drawn_negatives(mine, whole, negatives, seed + 7919 * k, constrained)
+        far = mine.drop("heads").join(drawn, "sent")
+        return head_pairs(mine, F.lit(-1.0 / size)).unionByName(head_pairs(far, F.lit(1.0 / size / negatives)))
+
+    return batch

@@ -244,13 +244,33 @@ def sample_gibbs_step(spark, sf_dir):
 )
 def multisense_response(spark, sf_dir):
     """Two senses of each id, the halves of its vectors, for one pair an id."""
+    return _rounded(mo.sense_scores(*_sense_pairs(spark, sf_dir)).select("i", "j", "score"), "score")
+
+
+def _sense_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     both = _both(spark, sf_dir)
     half = (F.size("v") / 2).cast("int")
     halves = lambda c: F.array(F.slice(c, F.lit(1), half), F.slice(c, half + 1, F.size(c) - half))
     senses = both.select("id", halves("v").alias("v"), halves("w").alias("w"), F.array(F.col("vb"), -F.col("vb")).alias("vb"), F.array(F.col("wb"), -F.col("wb")).alias("wb"))
     many = F.broadcast(both.agg(F.count("*").alias("many")))
-    pairs = both.crossJoin(many).select(F.col("id").alias("i"), ((5 * F.col("id") + 1) % F.col("many")).alias("j"))
-    return _rounded(mo.sense_scores(pairs, senses).select("i", "j", "score"), "score")
+    return both.crossJoin(many).select(F.col("id").alias("i"), ((5 * F.col("id") + 1) % F.col("many")).alias("j")), senses
+
+
+@_query(
+    f"WITH {_BOTH}, p AS (SELECT id AS i, (5 * id + 1) % many AS j FROM v, many), n AS (SELECT len(v) // 2 AS h FROM v LIMIT 1), "
+    "a AS (SELECT id, [v[:h], v[h + 1:]] AS v, [w[:h], w[h + 1:]] AS w, [vb, -vb] AS vb, [wb, -wb] AS wb FROM v, n), "
+    "e AS (SELECT i, j, s, r, list_inner_product(b.w[r], a.v[s]) + b.wb[r] + a.vb[s] AS e, a.v[s] AS x, b.w[r] AS y FROM p JOIN a ON a.id = i JOIN a b ON b.id = j, (VALUES (1), (2)) t(s), (VALUES (1), (2)) u(r)), "
+    "q AS (SELECT *, exp(e) / sum(exp(e)) OVER (PARTITION BY i, j) AS q, ln(sum(exp(e)) OVER (PARTITION BY i, j)) AS d FROM e), "
+    "g AS (SELECT i AS id, 'v' AS side, s AS sense, d * q AS f, y AS x FROM q UNION ALL SELECT j, 'w', r, d * q, x FROM q), "
+    "m AS (SELECT id, side, sense, f, unnest(x) AS x, generate_subscripts(x, 1) AS dim FROM g) "
+    "SELECT id, side, (sense - 1)::INT AS sense, (dim - 1)::INT AS dim, round(sum(f * x), 6) AS g FROM m GROUP BY ALL"
+)
+def grad_multisense(spark, sf_dir):
+    """Gradients of half the sum of the squares of `multisense_response`, for both senses and sides."""
+    pairs, senses = _sense_pairs(spark, sf_dir)
+    dims = senses.select(F.size(F.col("v")[0]).alias("n")).first().n
+    found = mo.sense_gradients(pairs, senses, F.col("score"), 2, dims)
+    return _rounded(found.select("id", "side", "sense", F.posexplode("g").alias("dim", "g")), "g")
 
 
 _SHARES = ", uni AS (SELECT id, pow(n, 0.75) AS n FROM vocab), ushare AS (SELECT id, n / (SELECT sum(n) FROM uni) AS share FROM uni) "
