@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.sources.shared import shared_dir
+
 #: `[^\x20\x09-\x0D]+` is what bytes.split() returns: these are the six ASCII white-space bytes.
 ASCII_SPACES = " \t\n\x0b\x0c\r"
 #: Spark removes a query's shuffle files when the query ends, not when the driver happens to collect garbage.
@@ -26,20 +27,6 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set in local mode, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        checkpoint = spark.sparkContext.getCheckpointDir()
-        if checkpoint is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            checkpoint = tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(checkpoint)
-        found = checkpoint
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: short lineage, and a size the planner knows.
 

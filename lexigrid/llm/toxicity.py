@@ -24,7 +24,7 @@ EDGE = 31
 #: A piece of a word that spaces take apart has at most so many letters.
 SHORT = 3
 #: Strings of a text that add up to its value: one chance likeness is not yet an insult.
-COUNTED = 3
+COUNTED = 5
 _NUMBERS = 1 << 5 * ORDER
 
 
@@ -199,7 +199,7 @@ def _ranks(groups):
 
 
 def readings(texts: pa.Array) -> Readings:
-    """
+    """The strings that texts may spell, each distinct one once.
 
     A word between white space is read without its marks and digits. Words of eight letters and more are
     also read without every other letter, as 'bxlxoxcxkx'. A piece of up to three letters is also read with
@@ -385,10 +385,11 @@ def _instances(words: list[str], most: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, landmarks: int = 64, places: int = 8, parts: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, landmarks: int = 64, places: int = 16, least_gain: float = 10.0, parts: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The model from a hash sample of about `fit_rows` labelled rows outside the held-out fold.
 
-    Landmarks are words that more toxic than clean texts hold, and how these begin. The `places` strings of
+    Landmarks are words that more toxic than clean texts hold, by at least `least_gain` (three toxic texts and no clean
+    one are enough in a small sample), and how these begin. The `places` strings of
     a labelled text that are likest to landmarks go to the driver, fit_rows * places vectors at most and
     add up to the text's vector; once fitted, those COUNTED that score most, as in scoring.
     None if either class is missing.
@@ -411,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, landmarks:
     )
     gain = F.col("n1") * F.log((F.col("n1") + 0.5) / n1 / ((F.col("n0") + 0.5) / n0))
     # exp(-gain) bounds how likely chance gives such counts to a word; there may be a million words.
-    chosen = counts.where((gain > 14) & (F.col("n1") * n0 > 8 * F.col("n0") * n1)).orderBy(gain.desc(), F.col("w").endswith("*"), F.length("w").desc(), "w")
+    chosen = counts.where((gain > least_gain) & (F.col("n1") * n0 > 8 * F.col("n0") * n1)).orderBy(gain.desc(), F.col("w").endswith("*"), F.length("w").desc(), "w")
     words = _spread([r.w for r in chosen.limit(10 * landmarks).collect()], landmarks)
     if not words:
         return None
