@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the one set for checkpoints; ValueError where there is none."""
+    """The folder of spark.checkpoint.dir, or the one set for checkpoints; where neither is set, one in the warehouse, which is shared as well."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
-    return found.rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate").rstrip("/")
 
 
 def cut(df: DataFrame, label: str = "table") -> DataFrame:
