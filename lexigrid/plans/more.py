@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from lexigrid.operators import sampling as sa
 from lexigrid.operators import tiles as ti
 from lexigrid.plans.catalogue import _TOKENS, _cells_sql, _docs, _rounded, _vectors, _vocab
 from lexigrid.plans.models import _MODEL, SIZE, _dense, _sparse
-from lexigrid.sources.shared import cut
-from lexigrid.sources.corpus import all_words, lines
+from lexigrid.sources import store
+from lexigrid.sources.corpus import all_words, lines, tokens
+from lexigrid.sources.shared import cut, shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -182,6 +185,30 @@ def unigram_sorted_by_tokens(spark, sf_dir):
     return co.sorted_by(_vocab(spark, sf_dir, None), order)
 
 
+@_query(
+    f"WITH {_TOKENS}, f AS (SELECT token, count(*) AS n, min(struct_pack(a := doc_id, b := line_no, c := pos)) AS first FROM tokens GROUP BY token) "
+    "SELECT (row_number() OVER (ORDER BY n DESC, first) - 1)::INT AS id, token, n FROM f"
+)
+def vocabulary_first_seen(spark, sf_dir):
+    """Every token by falling count, ties in the order in which the documents have them."""
+    found = co.seen_unigram(tokens(_docs(spark, sf_dir)), "doc_id", "line_no", "pos")
+    return co.seen_vocabulary(found)
+
+
+@_query(
+    _CELLS + ", w AS (SELECT list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM conversations), p AS (SELECT w[1] AS focal, w[2] AS context, count(*) AS k FROM w WHERE len(w) > 1 GROUP BY ALL ORDER BY k DESC, focal, context LIMIT 20) "
+    "SELECT focal, context, coalesce(nij, 0)::DOUBLE AS nij FROM p LEFT JOIN vocab a ON a.token = focal LEFT JOIN vocab b ON b.token = context LEFT JOIN cells ON i = a.id AND j = b.id"
+)
+def cooccurrence_found_in_store(spark, sf_dir):
+    """Of the twenty commonest beginnings of a conversation's texts, what was counted, looked up in a stored table of sectors."""
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
+    asked = talk.where(F.size("w") > 1).groupBy(F.col("w")[0].alias("focal"), F.col("w")[1].alias("context")).agg(F.count("*").alias("k"))
+    pairs = [(r.focal, r.context) for r in asked.orderBy(F.col("k").desc(), "focal", "context").limit(20).collect()]
+    vocab, path = cut(_vocab(spark, sf_dir, None)), f"{shared_dir(spark)}/lexigrid-sectors-{uuid.uuid4().hex}"
+    store.save_cooccurrences(_counted(spark, sf_dir, vocab), vocab, path, 4)
+    return store.count(spark, path, pairs)
+
+
 @_query(_WHOLE + "SELECT i, round(sum(ni) OVER (ORDER BY i) / n, 9) AS high FROM rows CROSS JOIN total")
 def sample_distribution(spark, sf_dir):
     sums = co.marginals(_all_cells(spark, sf_dir))
