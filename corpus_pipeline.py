@@ -22,8 +22,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _only(rows: DataFrame, found: DataFrame, how: str, label: str) -> DataFrame:
-    """Rows whose number is (left_semi) or isn't (left_anti) found; ids may be null or repeat."""
-    return rows.join(stored(found.distinct(), label), "row", how).select(*COLUMNS)
+    """Rows whose number is (left_semi) or isn't (left_anti) found; ids may be null or repeat.
+
+    What is found grows with the table, so texts meet it by a shuffle at every size.
+    """
+    return rows.join(stored(found.distinct(), label).hint("merge"), "row", how).select(*COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
