@@ -112,68 +112,103 @@ def centroid(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"))
 
 
-def _best_of_task(held, k: int):
-    """The k best rows of a task for each broadcast query; partial results are cut to k after every batch."""
+class _Best:
+    """The k best rows seen so far of each query (own ids, vectors); ties to the smaller id."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, own, asked, k: int):
         import numpy as np
 
-        own, asked = held.value
+        self.own, self.asked, self.k = own, asked, k
         by_width: dict[int, list[int]] = {}
         for i, q in enumerate(asked):
             by_width.setdefault(len(q), []).append(i)
-        blocks = {w: [np.array(at[k0 : k0 + SLICE]) for k0 in range(0, len(at), SLICE)] for w, at in by_width.items()}
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(own)
+        self.blocks = {w: [np.array(at[a : a + SLICE]) for a in range(0, len(at), SLICE)] for w, at in by_width.items()}
+        self.best = [(np.zeros(0), np.zeros(0, np.int64))] * len(own)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        import numpy as np
+
+        ids, lists = batch.column("id").to_numpy(zero_copy_only=False), batch.column("v")
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        for width in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == width)
+            rows, who = flat[starts[mine][:, None] + np.arange(width)], ids[mine]
+            for at in self.blocks.get(width, ()):
+                q = np.stack([self.asked[i] for i in at])
+                # One component after the other, so that every score adds up in the order of the vector.
+                scores = np.zeros((len(at), len(who)))
+                for d in range(width):
+                    scores += q[:, d : d + 1] * rows[:, d]
+                for i, found in zip(at.tolist(), scores, strict=True):
+                    keep = who != self.own[i]
+                    had_scores, had_ids = self.best[i]
+                    if len(had_scores) >= self.k:
+                        keep &= found >= had_scores[-1]
+                    if keep.any():
+                        found, near = np.concatenate([had_scores, found[keep]]), np.concatenate([had_ids, who[keep]])
+                        order = np.lexsort((near, -found))[: self.k]
+                        self.best[i] = found[order], near[order]
+
+    def found(self) -> pa.Table:
+        import numpy as np
+
+        scores, ids = (np.concatenate([b[side] for b in self.best] or [np.zeros(0)]) for side in (0, 1))
+        own = np.repeat(np.array(self.own, np.int64), [len(b[1]) for b in self.best])
+        return pa.table({"query_id": pa.array(own), "id": pa.array(ids.astype(np.int64)), "score": pa.array(scores)})
+
+
+def _of_task(held, k: int):
+    """The k best rows of a task for each broadcast query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*held.value, k)
         for batch in batches:
-            ids, lists = batch.column("id").to_numpy(zero_copy_only=False), batch.column("v")
-            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
-            for width in np.unique(sizes).tolist():
-                mine = np.flatnonzero(sizes == width)
-                rows, who = flat[starts[mine][:, None] + np.arange(width)], ids[mine]
-                for at in blocks.get(width, ()):
-                    q = np.stack([asked[i] for i in at])
-                    # One component after the other, so that every score adds up in the order of the vector.
-                    scores = np.zeros((len(at), len(who)))
-                    for d in range(width):
-                        scores += q[:, d : d + 1] * rows[:, d]
-                    for i, found in zip(at.tolist(), scores, strict=True):
-                        keep = who != own[i]
-                        had_scores, had_ids = best[i]
-                        if len(had_scores) >= k:
-                            keep &= found >= had_scores[-1]
-                        if keep.any():
-                            found, near = np.concatenate([had_scores, found[keep]]), np.concatenate([had_ids, who[keep]])
-                            order = np.lexsort((near, -found))[:k]
-                            best[i] = found[order], near[order]
-        for i, (scores, ids) in enumerate(best):
-            if len(ids):
-                columns = [pa.array(np.full(len(ids), own[i], np.int64)), pa.array(ids.astype(np.int64)), pa.array(scores)]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
+            best.add(batch)
+        yield from best.found().to_batches()
+
+    return run
+
+
+def _of_blocks(k: int):
+    """The k best rows of a block of rows for each query of a block of queries."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        import numpy as np
+
+        best = _Best(queries.column("id").to_pylist(), [np.array(v, np.float64) for v in queries.column("v").to_pylist()], k)
+        for batch in rows.to_batches(max_chunksize=SLICE):
+            best.add(batch)
+        return best.found()
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False, block: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False, block: int = 20_000, held: int = 131_072) -> DataFrame:
     """The k largest products of each query with all others; ties to the smaller id.
 
-    Each block of about `block` queries is broadcast and meets all rows where they are read; a task
-    answers with k rows a query, which are ranked after one shuffle.
+    Up to `block` queries are broadcast and meet all rows where they are read. More are dealt to blocks of
+    about that size, and rows to blocks of about `held`: each block of queries meets each block of rows in
+    a task of its own, through one shuffle, and no query goes through the driver. Either way a task answers
+    with k rows a query, which are ranked after one more shuffle.
     """
     import numpy as np
 
     base, asked = (normalized(vectors), normalized(queries)) if cosine else (vectors, queries)
     kind = vectors.schema["id"].dataType.simpleString()
-    base = base.select(F.col("id").cast("long").alias("id"), "v").where("id is not null and v is not null")
-    asked = asked.select(F.col("id").cast("long").alias("id"), "v").where("id is not null and v is not null")
-    context, n, out = vectors.sparkSession.sparkContext, asked.count(), None
-    passes = math.ceil(1.2 * n / block) if n > block else 1
-    for p in range(passes):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else asked
-        got = mine.collect()
-        held = context.broadcast(([r.id for r in got], [np.array(r.v, np.float64) for r in got]))
-        found = base.mapInArrow(_best_of_task(held, k), "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
+    base, asked = (df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null") for df in (base, asked))
+    n, schema = asked.count(), "query_id long, id long, score double"
+    if n <= block:
+        got = asked.collect()
+        sent = vectors.sparkSession.sparkContext.broadcast(([r.id for r in got], [np.array(r.v, np.float64) for r in got]))
+        found = base.mapInArrow(_of_task(sent, k), schema)
+    else:
+        query_blocks, row_blocks = math.ceil(n / block), max(1, math.ceil(base.count() / held))
+        deal = lambda of, blocks: F.pmod(F.xxhash64(*of), F.lit(blocks)).cast("int")
+        each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        rows = base.withColumn("r", deal(["id", "v"], row_blocks)).withColumn("q", each(query_blocks))
+        asked = asked.withColumn("q", deal(["id"], query_blocks)).withColumn("r", each(row_blocks))
+        found = rows.groupBy("r", "q").cogroup(asked.groupBy("r", "q")).applyInArrow(_of_blocks(k), schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("query_id").cast(kind).alias("query_id"), F.col("id").cast(kind).alias("id"), "score", "rank")

@@ -100,6 +100,6 @@ def test_neighbours_in_blocks(spark):
     for q, x in rows[::20]:
         scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for c, y in rows if c != q)[:4]
         want |= {(q, n): (c, -s) for n, (s, c) in enumerate(scored, 1)}
-    for block in (2, 100):
-        got = em.nearest(v, v.where("id % 20 = 0"), 4, block=block).collect()
+    for block, held in ((2, 7), (4, 1000), (100, 7)):
+        got = em.nearest(v, v.where("id % 20 = 0"), 4, block=block, held=held).collect()
         assert {(r.query_id, r["rank"]): (r.id, r.score) for r in got} == want and len(got) == len(want)
