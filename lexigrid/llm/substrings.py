@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import id_and_text, stored
+from lexigrid.sources.shared import removed
+
+#: Keys that hold more than one in so many anchors are dealt out; as an anchor counts for two at most, no more than twice as many keys can.
+SHARES = 4096
 
 
 def word_hashes(words: list[bytes]):
@@ -83,15 +87,19 @@ def _halves(length: int):
     return run
 
 
-def _extended(length: int):
-    """Windows of full length over the surviving anchors: (key, check, doc, uid, start)."""
+def _extended(length: int, frequent: list[int], parts: list[int]):
+    """Windows of full length over the surviving anchors: (key, check, doc, uid, start, salt).
+
+    Windows of frequent anchors, given in ascending order, have salts under the anchor's number of parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         from lexigrid.llm.common import rows_of
 
-        kinds = [pa.int64()] * 4 + [pa.int32()]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+        many, among = np.array([*frequent, np.iinfo(np.int64).max], np.int64), np.array([*parts, 1], np.int64)
         for batch in batches:
             for uid, doc, text, alive in rows_of([batch], "uid", "doc", "text", "alive"):
                 words, others = word_hashes(text.encode("utf-8", "surrogatepass").split())
@@ -99,17 +107,22 @@ def _extended(length: int):
                 if len(half) <= length // 2:
                     continue
                 at = anchors(half, length // 2)
-                live = np.isin(half.view(np.int64), np.array(alive, np.int64))
+                half = half.view(np.int64)
+                live = np.isin(half, np.array(alive, np.int64))
                 start = np.flatnonzero(live[at])
                 if not len(start):
                     continue
                 full = windows(words, length)[start]
                 # From the words' second hashes, so that keys are 128 bits.
                 check = windows(others, length)[start]
+                near = np.searchsorted(many, half[at[start]])
+                of = np.where(many[near] == half[at[start]], among[near], 1)
+                salt = (uid % of + start) % of
                 for a in range(0, len(start), 50_000):
                     s = slice(a, a + 50_000)
                     n = len(start[s])
-                    yield _emit(["key", "check", "doc", "uid", "start"], kinds, [full[s].view(np.int64), check[s].view(np.int64), np.full(n, doc), np.full(n, uid), start[s].astype(np.int32)])
+                    columns = [full[s].view(np.int64), check[s].view(np.int64), np.full(n, doc), np.full(n, uid), start[s].astype(np.int32), salt[s].astype(np.int32)]
+                    yield _emit(["key", "check", "doc", "uid", "start", "salt"], kinds, columns)
 
     return run
 
@@ -146,7 +159,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id",
     earlier: in a smaller doc_id, or before it in the same document. Windows of half the length are
     counted first, at one anchor for each full window, picked by its words alone; full windows are
     made only where that anchor repeats, and judged by their least place. Keys are counted by
-    partial aggregation, so one very common passage is no hot group; the joins are split by AQE.
+    partial aggregation. In the joins, an anchor that holds over 1/4096 of all, and the windows over it,
+    are dealt to parts of about that size by salts, so that one very common passage is no hot group; at
+    most 8,192 anchors can be so frequent, and only these are broadcast. Tables of anchors and windows are
+    removed once what they lead to is stored.
 
     Null texts count as empty; texts under `length` words keep all. A null doc_id counts as smallest.
     Rows of one doc_id with different texts come in the order of their text hashes; rows that repeat
@@ -161,15 +177,25 @@ def remove_repeats(docs: DataFrame, *, length: int = 20, id_col: str = "doc_id",
     rows = rows.join(stored(least, "texts"), ["t1", "t2"], "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("least"), F.lit(False)))
     source = rows.where("not copy")
     halves = stored(source.select("uid", "text").mapInArrow(_halves(length), "key long, uid long, n int"), "halves")
-    again = halves.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    alive = halves.join(again, "key").select("uid", "key").groupBy("uid").agg(F.collect_set("key").alias("alive"))
+    again = stored(halves.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
+    share = max(1, halves.count()) / SHARES
+    parts = F.when(F.col("n") > share, F.ceil(F.col("n") / share)).otherwise(1).cast("int")
+    hot = again.where(F.col("n") > share).select("key", parts.alias("parts"))
+    frequent = sorted((r.key, r.parts) for r in hot.collect())
+    dealt = halves.join(F.broadcast(hot), "key", "left").select("key", "uid", F.pmod("uid", F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+    met = again.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    alive = dealt.join(met.hint("merge"), ["key", "salt"]).groupBy("uid").agg(F.collect_set("key").alias("alive"))
     live = source.join(alive, "uid").select("uid", "doc", "text", "alive")
-    full = stored(live.mapInArrow(_extended(length), "key long, check long, doc long, uid long, start int"), "windows")
+    extended = _extended(length, [key for key, _ in frequent], [n for _, n in frequent])
+    full = stored(live.mapInArrow(extended, "key long, check long, doc long, uid long, start int, salt int"), "windows")
+    removed(halves, again)
     place = F.struct("doc", "uid", "start")
-    first = full.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "check", "first")
-    later = full.join(first, ["key", "check"]).where(place != F.col("first"))
+    ends = full.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("salt").alias("top")).where("first <> last")
+    first = ends.select("key", "check", "first", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("salt"))
+    later = full.join(first.hint("merge"), ["key", "check", "salt"]).where(place != F.col("first"))
     # A row's hash may be another document's: with the document's id, only one of its own rows could share it.
     starts = stored(later.groupBy("doc", "uid").agg(F.collect_set("start").alias("starts")), "starts")
+    removed(full)
     joined = source.join(starts, ["doc", "uid"], "left").select("doc_id", "text", "starts", "copy")
     joined = joined.unionByName(rows.where("copy").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), "copy"))
     return joined.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
