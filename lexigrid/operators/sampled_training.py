@@ -100,8 +100,22 @@ class ParameterTable:
             self.state |= {"base": t, "deltas": []}
         self._told()
         if self.state["base"] != old["base"]:
-            for name in [f"base-{old['base']}", *(f"delta-{d}" for d in [*old["deltas"], t]), *(f"manifest-{k}" for k in self._found(self.spark, self.path) if k < t)]:
-                remove(self.spark, f"{self.path}/{name}")
+            self._forget(old, [*old["deltas"], t])
+
+    def replace(self, rows: DataFrame, loss: float | None = None) -> None:
+        """Write what an update made that moved every id, as a new base, and the manifest after it."""
+        old = dict(self.state)
+        t = old["update"] + 1
+        rows.write.mode("overwrite").parquet(f"{self.path}/base-{t}")
+        self.state = old | {"update": t, "base": t, "deltas": [], "losses": old["losses"] + ([[t, loss]] if loss is not None else [])}
+        self._told()
+        self._forget(old, old["deltas"])
+
+    def _forget(self, old: dict, deltas: list[int]) -> None:
+        """Delete a base that was followed by a new one, its deltas and the manifests that name it."""
+        before = (k for k in self._found(self.spark, self.path) if k < self.state["update"])
+        for name in [f"base-{old['base']}", *(f"delta-{d}" for d in deltas), *(f"manifest-{k}" for k in before)]:
+            remove(self.spark, f"{self.path}/{name}")
 
 
 def pair_scores(pairs: DataFrame, params: DataFrame) -> DataFrame:
@@ -126,8 +140,6 @@ class SampledLoss:
         self.pair, self.slope = pair, slope
 
 
-
-
 def sample_mle() -> SampledLoss:
     """-(sum of positive scores - sum of exp of the others) by the number of positive pairs."""
     positive = lambda: F.col("positive")

@@ -75,7 +75,7 @@ def _block(form: Form, total: float, bias: bool, loss: bool, slopes: tuple[str,
             ids = mine.column("id").to_numpy()
             flat = mine.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             numbers = [mine.column(c).to_numpy() for c in ("m", "share", "b")]
-            return ids, flat.reshape(len(ids), -1), *numbers
+            return ids, flat.reshape(len(ids), len(flat) // max(len(ids), 1)), *numbers
 
         (rows, w, ni, _, wb), (columns, v, nj, share, vb) = half(0), half(1)
         if not len(rows) or not len(columns):

@@ -76,8 +76,10 @@ def embedding_p_norms(spark, sf_dir):
 
 
 @_query(
-    f"WITH {_V}, m AS (SELECT sqrt(list_inner_product(v, v)) AS m FROM v) "
-    "SELECT 'given' AS kind, bool_and(abs(m - 1) <= 1.001e-5) AS normed FROM m UNION ALL SELECT 'unit', TRUE"
+    f"WITH {_V}, m AS (SELECT v, sqrt(list_inner_product(v, v)) AS m FROM v), "
+    "u AS (SELECT CASE WHEN m = 0 THEN v ELSE list_transform(v, lambda x: x / m) END AS u FROM m) "
+    "SELECT 'given' AS kind, bool_and(abs(m - 1) <= 1.001e-5) AS normed FROM m "
+    "UNION ALL SELECT 'unit', bool_and(abs(sqrt(list_inner_product(u, u)) - 1) <= 1.001e-5) FROM u"
 )
 def embedding_check_normalized(spark, sf_dir):
     v = _vectors(spark, sf_dir)
@@ -166,7 +168,10 @@ def cooccurrence_of_token_pairs(spark, sf_dir):
 _WHOLE_VOCAB = f"{_TOKENS}, vocab AS (SELECT (row_number() OVER (ORDER BY n DESC, token) - 1)::INT AS id, token, n FROM unigram)"
 
 
-@_query(f"WITH {_WHOLE_VOCAB} SELECT 'falling' AS kind, TRUE AS sorted UNION ALL SELECT 'rising', (SELECT count(DISTINCT n) = 1 FROM vocab)")
+@_query(
+    f"WITH {_WHOLE_VOCAB}, o AS (SELECT n, lead(n) OVER (ORDER BY id) AS after, lead(n) OVER (ORDER BY id DESC) AS before FROM vocab) "
+    "SELECT 'falling' AS kind, coalesce(bool_and(after <= n), TRUE) AS sorted FROM o UNION ALL SELECT 'rising', coalesce(bool_and(before <= n), TRUE) FROM o"
+)
 def unigram_is_sorted(spark, sf_dir):
     vocab = _vocab(spark, sf_dir, None)
     many = F.broadcast(vocab.agg(F.max("id").alias("last")))
@@ -379,11 +384,11 @@ def dependency_batches(spark, sf_dir):
 
 @_query()
 def train_glove(spark, sf_dir):
-    """Two updates on all cells of tokens seen 20 times and more: the vectors' norms."""
+    """Two updates on all cells of all tokens: the vectors' norms."""
     from lexigrid.functions.runs import rate_schedule
     from lexigrid.operators import training as tr
 
-    vocab = tr.cut(co.vocabulary(co.unigram(all_words(_docs(spark, sf_dir))), min_count=20))
+    vocab = tr.cut(_vocab(spark, sf_dir, None))
     cells = tr.cut(co.with_marginals(co.line_cooccurrences(lines(_docs(spark, sf_dir)), vocab, *kernel("flat", 5))))
     params, _ = tr.train(cells, tr.initial(spark, vocab.count(), 16, bias=True), mo.glove_loss(), mo.glove_delta(), rate=rate_schedule("linear", 0.05, 2), updates=2, bias=True)
     return params.select("id", F.round(em.norm("v"), 6).alias("v"), F.round(em.norm("w"), 6).alias("w"))
