@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.operators import cooccurrence as co
 from lexigrid.sources.corpus import all_words, lines
+from lexigrid.sources.shared import cut
 
 TEXTS = ["a b a c", "b b a\nd a c c b a", "e", "c d\n\nf a a a", None, "x a y b z c a b c d e f g"]
 
@@ -38,3 +39,17 @@ def test_stripes_of_any_vocabulary_count_alike(spark):
         assert tables[0] == tables[1] == tables[2] and tables[0]
     plan = counted(spark, [1.0] * 5, [1.0] * 5, 1)[2]._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(lo" in plan and "hashpartitioning(row" not in plan and "Window" not in plan
+
+
+def test_marginals_meet_cells_by_broadcast(spark):
+    """Cells are counted once; frequent ids are broadcast, others joined, with the same rows."""
+    texts, vocab, cells = counted(spark, [1.0] * 5, [1.0] * 5, 100)
+    sums = co.marginals(cells)
+    want = sorted(tuple(r) for r in co.attach(cells, sums).collect())
+    assert want and all(sorted(tuple(r) for r in co.attach(cells, sums, most=k).collect()) == want for k in (0, 1, 3))
+    full = co.with_marginals(cells, co.line_marginals(texts, vocab, [1.0] * 5, [1.0] * 5))
+    assert sorted(tuple(r) for r in full.collect()) == want
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Exchange hashpartitioning" not in plan
+    thinned = co.undersampled(cut(cells), cut(vocab), 1e-3)
+    assert thinned.count() == len(want) and "SortMergeJoin" not in thinned._jdf.queryExecution().executedPlan().toString()
