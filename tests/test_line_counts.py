@@ -53,3 +53,34 @@ def test_marginals_meet_cells_by_broadcast(spark):
     assert "MapInArrow" not in plan and "Exchange hashpartitioning" not in plan
     thinned = co.undersampled(cut(cells), cut(vocab), 1e-3)
     assert thinned.count() == len(want) and "SortMergeJoin" not in thinned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbered_scores_equal_joined_ones(spark, tmp_path):
+    """Scores and gradients over all cells equal those of joined parameters, and no vector is shuffled."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lexigrid.operators import models as mo
+    from lexigrid.plans import models
+
+    pq.write_table(pa.table({"doc_id": range(len(TEXTS)), "text": TEXTS}), tmp_path / "documents.parquet")
+    vectors = [[(k * d * 7 % 11 - 5) / 10 for d in (1, 2, 3)] for k in range(1, 6)]
+    pq.write_table(pa.table({"vec_id": range(5), "embedding": pa.array(vectors, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    d, params = str(tmp_path), models._params(spark, str(tmp_path), None)
+    cells = cut(models._model_cells(spark, d, None))
+    for dense, joined in ((True, mo.dense_scores), (False, mo.sample_scores)):
+        found = models._turns(spark, d, cells, dense, True)[0]
+        assert "Join" not in found._jdf.queryExecution().toString()
+        want = {(r.i, r.j): r.score for r in joined(cells, params, True).collect()}
+        assert {(r.i, r.j): r.score for r in found.collect()} == pytest.approx(want)
+    slope = mo.gradient(mo.dense_scores(cells, params), mo.glove_delta(), "v")
+    want = {(r.id, r.dim): r.g for r in slope.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {(r.id, k): g for r in models._whole_slopes(spark, d).collect() for k, g in enumerate(r.g)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == pytest.approx(want) and len(want) > 20
+    after = mo.descend(params, slope, 1e-4, "v")
+    moved = {(r.id, k): round(x, 6) for r in after.collect() for k, x in enumerate(r.v)}
+    assert {(r.id, r.dim): r.x for r in models.descent_step_glove(spark, d, size=None).collect()} == pytest.approx(moved, abs=2e-6)
