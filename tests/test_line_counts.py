@@ -84,3 +84,24 @@ def test_numbered_scores_equal_joined_ones(spark, tmp_path):
     after = mo.descend(params, slope, 1e-4, "v")
     moved = {(r.id, k): round(x, 6) for r in after.collect() for k, x in enumerate(r.v)}
     assert {(r.id, r.dim): r.x for r in models.descent_step_glove(spark, d, size=None).collect()} == pytest.approx(moved, abs=2e-6)
+
+
+def test_dense_passes_over_shared_vectors(spark, tmp_path):
+    """Losses and slopes over every pair equal those in blocks, though only pairs of vectors are scored."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lexigrid.operators import tiles as ti
+    from lexigrid.plans import models
+
+    pq.write_table(pa.table({"doc_id": range(len(TEXTS)), "text": TEXTS}), tmp_path / "documents.parquet")
+    vectors = [[(k * d * 7 % 11 - 5) / 10 for d in (1, 2, 3)] for k in range(1, 6)]
+    pq.write_table(pa.table({"vec_id": range(5), "embedding": pa.array(vectors, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    d = str(tmp_path)
+    for form, run in ((ti.mle(), models.loss_mle), (ti.sgns(), models.loss_sgns)):
+        want = {r.id: r.loss for r in models._dense(spark, d, form, None).collect()}
+        assert {r.i: r.loss for r in run(spark, d, size=None).collect()} == pytest.approx(want, abs=2e-5) and len(want) > 8
+    want = {(r.id, k): x for r in models._dense(spark, d, ti.mle(), None, loss=False, slopes=("v",)).collect() for k, x in enumerate(r.g)}
+    found = models.grad_mle_v(spark, d, size=None)
+    assert {(r.id, r.dim): r.g for r in found.collect()} == pytest.approx(want, abs=2e-9)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
