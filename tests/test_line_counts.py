@@ -105,3 +105,21 @@ def test_dense_passes_over_shared_vectors(spark, tmp_path):
     found = models.grad_mle_v(spark, d, size=None)
     assert {(r.id, r.dim): r.g for r in found.collect()} == pytest.approx(want, abs=2e-9)
     assert "CoGroup" not in found._jdf.queryExecution().toString()
+
+
+def test_sentences_meet_scores_of_word_pairs(spark):
+    """Each distinct pair of words is scored once; sentences are shuffled, not their pairs or vectors."""
+    from lexigrid.operators import dependency as de
+
+    found = spark.createDataFrame([(s, [0, 3, 4, 3], [None, 0, 1, 1], 4) for s in range(40)] + [(99, [0, 5], [None, 0], 2)], "sent long, words array<int>, heads array<int>, n int")
+    params = spark.createDataFrame([(k, [0.1 * k, 1.0], [1.0, 0.2 * k], 0.5 * k, -0.1 * k) for k in range(6)], "id int, v array<double>, w array<double>, vb double, wb double")
+    pair = lambda m, h: 0.1 * h + 0.2 * m - 0.1 * m + 0.5 * h
+    got = de.scores(found, params)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.sent: r.score for r in got.collect()} == pytest.approx({s: pair(3, 0) + pair(4, 3) + pair(3, 3) for s in range(40)} | {99: pair(5, 0)})
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (4, 4)], "mw int, hw int")
+    assert sorted(r.energy for r in de.with_energy(pairs, params, most=0).collect()) == pytest.approx(sorted([pair(1, 2), pair(1, 2), pair(4, 4)]))
+    chances = de.head_chances(de.energies(found, params)).groupBy("sent").agg(F.sum("p").alias("p"))
+    plan = chances._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert {r.sent: r.p for r in chances.collect()} == pytest.approx({s: 3.0 for s in range(40)} | {99: 1.0})
