@@ -123,3 +123,20 @@ def test_sentences_meet_scores_of_word_pairs(spark):
     plan = chances._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
     assert {r.sent: r.p for r in chances.collect()} == pytest.approx({s: 3.0 for s in range(40)} | {99: 1.0})
+
+
+def test_only_cells_of_asked_pairs_are_shuffled(spark, monkeypatch):
+    """Of all cells only those of drawn pairs meet the marginals, and only those of asked pairs leave their partition."""
+    from lexigrid.plans import more
+
+    met, attach = [], co.attach
+    monkeypatch.setattr(co, "attach", lambda cells, sums: met.append(cells.count()) or attach(cells, sums))
+    drawn = more.sample_balanced(spark, "/root/testdata/sf0.001")
+    assert 0 < met[0] <= drawn.select("i", "j").distinct().count()
+    _, vocab, cells = counted(spark, [1.0] * 5, [1.0] * 5, 100)
+    asked = spark.createDataFrame([("a", "b"), ("a", "never"), ("e", "a"), ("never", "e")], "focal string, context string")
+    found = co.cell_count(cut(cells), cut(vocab), asked)
+    assert "BroadcastHashJoin [i" in found._jdf.queryExecution().executedPlan().toString()
+    ids = {r.token: r.id for r in vocab.collect()}
+    nij = {(r.i, r.j): r.nij for r in cells.collect()}
+    assert {(r.focal, r.context): r.nij for r in found.collect()} == {(a, b): nij.get((ids.get(a), ids.get(b)), 0.0) for a, b in (("a", "b"), ("a", "never"), ("e", "a"), ("never", "e"))}
