@@ -140,3 +140,19 @@ def test_only_cells_of_asked_pairs_are_shuffled(spark, monkeypatch):
     ids = {r.token: r.id for r in vocab.collect()}
     nij = {(r.i, r.j): r.nij for r in cells.collect()}
     assert {(r.focal, r.context): r.nij for r in found.collect()} == {(a, b): nij.get((ids.get(a), ids.get(b)), 0.0) for a, b in (("a", "b"), ("a", "never"), ("e", "a"), ("never", "e"))}
+
+
+def test_a_stored_table_is_counted_once(spark, tmp_path):
+    from lexigrid.sources import store
+
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    cells = spark.range(60).selectExpr("cast(id % 8 as int) i", "cast(id / 8 as int) j", "1.0D nij").mapInArrow(seen, "i int, j int, nij double")
+    vocab = spark.range(8).selectExpr("cast(id as int) id", "concat('t', id) token", "1L n")
+    store.save_cooccurrences(cells, vocab, str(tmp_path / "table"), 2)
+    assert rows.value == 60 and store.load_cells(spark, str(tmp_path / "table")).count() == 60
