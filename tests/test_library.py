@@ -152,6 +152,32 @@ def test_training_equals_brute_force(spark, optimizer, bias):
         assert back[2].vb == pytest.approx(v[2][-2]) and back[2].wb == pytest.approx(w[2][-1]) and len(back[2].v) == 3
 
 
+def test_an_update_shuffles_neither_cells_nor_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    cells = matrix(spark, rng.integers(0, 4, (60, 60)).astype(float).tolist())
+    cells = tr.cut(co.with_marginals(cells.unionByName(spark.createDataFrame([(0, 99, 3.0), (99, 1, 2.0)], cells.schema))))
+    start = em.random_vectors(spark, 60, 3, seed=6, scale=0.5)
+    plans, plain = [], tr.cut
+
+    def seen(df, *args, **how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *args, **how)
+
+    monkeypatch.setattr(tr, "cut", seen)
+    params, losses = tr.train(cells, start, mo.glove_loss(), mo.glove_delta(), rate=lambda t: 0.1, updates=2, optimizer="sgd", every=1)
+    # Of the tables that are stored, an update's has one join, that of the parameters with the sums of their gradients.
+    updates = [p for p in plans if "Join" in p]
+    assert len(updates) == 2 and all(p.count("Join") == 1 for p in updates) and len(losses) == 2
+    assert params.count() == 60
+    monkeypatch.setattr(tr, "STRIDE", 7)
+    narrow, again = tr.train(cells, start, mo.glove_loss(), mo.glove_delta(), rate=lambda t: 0.1, updates=2, optimizer="sgd", every=1)
+    assert again == pytest.approx(losses)
+    want = {r.id: r for r in params.collect()}
+    assert all(r.v == pytest.approx(want[r.id].v) and r.w == pytest.approx(want[r.id].w) for r in narrow.collect())
+    _, nothing = tr.train(cells, start, mo.glove_loss(), mo.glove_delta(), rate=lambda t: 0.1, updates=0)
+    assert nothing == []
+
+
 def test_training_that_diverges(spark):
     cells = co.with_marginals(matrix(spark, [[0, 50], [40, 0]]))
     with pytest.raises(runs.Diverged):
