@@ -84,6 +84,26 @@ def test_gibbs_steps_follow_the_conditional(spark):
     assert sa.gibbs_step(given.limit(0), params, marginal, "v", "w", sa.hashed_noise(3)).count() == 0
 
 
+def test_chances_of_many_blocks_are_not_shuffled(spark, monkeypatch):
+    params = em.random_vectors(spark, 50, 4, seed=2, scale=1.2)
+    marginal = spark.createDataFrame([(k, float(1 + k % 4)) for k in range(50)], "id int, p double")
+    given = spark.createDataFrame([(7 * k, k) for k in range(20)] + [(5000, 99)], "n long, id int")
+    p = {r.id: r for r in params.collect()}
+    want = {}
+    for k in range(20):
+        chances = np.array([(1 + j % 4) * np.exp(np.dot(p[k].v, p[j].w)) for j in range(50)])
+        want |= {(7 * k, j): x for j, x in enumerate(chances / chances.sum())}
+    plan = sa.conditional(given, params, marginal, "v", "w")._jdf.queryExecution().executedPlan().toString()
+    # Nothing is shuffled after the rows of the result are there.
+    assert "Exchange" not in plan[: plan.index("FlatMap")] and "Join" not in plan[: plan.index("FlatMap")]
+    monkeypatch.setattr(sa, "ASKED", 6)
+    monkeypatch.setattr(sa, "PARTNERS", 9)
+    found = sa.conditional(given, params, marginal, "v", "w").collect()
+    assert len(found) == 1_000 and {(r.n, r.id): r.p for r in found} == pytest.approx(want)
+    assert sa.conditional(given.limit(0), params, marginal, "v", "w").count() == 0
+    assert sa.conditional(given, params, marginal.limit(0), "v", "w").count() == 0
+
+
 def test_a_sampler_of_pairs(spark):
     n = [[0, 70, 20, 10], [30, 0, 0, 40], [0, 60, 0, 0], [20, 0, 50, 0]]
     cells = spark.createDataFrame([(i, j, float(x)) for i, r in enumerate(n) for j, x in enumerate(r) if x], "i int, j int, nij double")
